@@ -34,7 +34,7 @@ def _ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     return df.join(renamed, same).withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_b", "_within", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
-def stratified_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 8, seed: int = 17, rows_per_bucket: int = 8192) -> DataFrame:
+def stratified_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 8, seed: int = 17, rows_per_bucket: int = 1024) -> DataFrame:
     """(doc id, source, size, text_crc32, fraction, shard, slot) for every row of df.
 
     Row counts of shards differ by one at most; slots count from 0 without gaps.
