@@ -40,6 +40,7 @@ GROUPS = 64
 LEAF = 32
 BLOCK = 1024
 FREQUENT = 65_536
+FEW = 2_000_000
 _LOCAL = 8
 _FLUSH = 1 << 21
 
@@ -218,6 +219,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(step, "a long, b long")
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A small table of ids with a hint to send it to all executors; a larger one as it is, for a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the texts that are in a pair, each once."""
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    return materialise(rows.join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
+
+
 def _bound(p: str, q: str) -> Column:
     return F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
 
@@ -274,41 +286,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     every = materialise(_described(rows, _frequent(rows.select("text"))), "jaccard-sets")
-    classes = every.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("prefix").alias("prefix"))
+    classes = every.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"))
+    classes = materialise(classes, "jaccard-classes")
+    points = classes.select("rep", "n", "point")
+    key = every.select("doc_id", "n", "f1", "f2")
+    reps = classes.select(F.col("n").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
+    placed = materialise(key.join(reps, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left").select("doc_id", "n", "rep"), "jaccard-places")
 
-    run = ["count(*) OVER (PARTITION BY run) AS members", "sum(xxhash64(rep) % 1099511627776) OVER (PARTITION BY run) AS mark", "min(rep) OVER (PARTITION BY run) AS head"]
-    runs = classes.select(F.explode("prefix").alias("run"), "rep").selectExpr("run", "rep", *run).filter("members > 1")
-    runs = materialise(runs, "jaccard-runs")
+    # runs of texts, then of classes: most shingles are in one text only and end here
+    shared = every.select(F.explode("prefix").alias("run"), "doc_id").selectExpr("run", "doc_id", "count(*) OVER (PARTITION BY run) AS texts").filter("texts > 1")
+    shared = shared.join(placed.filter("rep IS NOT NULL").select("doc_id", "rep").distinct(), "doc_id").select("run", "rep").distinct()
+    whole = ["count(*) OVER (PARTITION BY run) AS members", "sum(xxhash64(rep) % 1099511627776) OVER (PARTITION BY run) AS mark", "min(rep) OVER (PARTITION BY run) AS head"]
+    runs = materialise(shared.selectExpr("run", "rep", *whole).filter("members > 1"), "jaccard-runs")
     kept = runs.groupBy("members", "mark", "head").agg(F.min("run").alias("run"))
-    runs = runs.join(kept.select("run"), "run", "left_semi")
-
-    points = materialise(classes.select("rep", "n", "point"), "jaccard-points")
-    texts = materialise(rows.join(runs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
+    runs = materialise(runs.join(kept.select("run"), "run", "left_semi"), "jaccard-runs")
 
     star = runs.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     star = star.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
     star = star.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")) & (7 * _bound("pa", "pb") >= 3 * (F.col("na") + F.col("nb"))))
-    links = materialise(_verified(star, texts), "jaccard-links")
+    star = materialise(star.select("a", "b"), "jaccard-pairs")
+    links = materialise(_verified(star, _texts(rows, star)), "jaccard-links")
     labels = components(links)
 
     open_runs = runs.join(labels, F.col("rep") == F.col("node"), "left").select("run", "rep", "members", F.coalesce("label", "rep").alias("comp"))
     several = open_runs.groupBy("run").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
     open_runs = open_runs.join(several.select("run"), "run", "left_semi").join(points, "rep")
-    found = _verified(_tree_pairs(open_runs), texts)
-    late = materialise(links.union(found), "jaccard-links")
+    left = materialise(_tree_pairs(open_runs), "jaccard-pairs")
+    late = materialise(links.union(_verified(left, _texts(rows, left))), "jaccard-links")
     labels = components(late)
-
-    key = every.select("doc_id", "n", "f1", "f2")
-    reps = classes.select(F.col("n").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
-    placed = key.join(reps, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left").join(labels, F.col("rep") == F.col("node"), "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    out = placed.join(labels, F.col("rep") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with all columns, whose id is the smallest of its component; repeated ids stay once."""
-    places = jaccard_components(docs)
-    kept = places.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    places = materialise(jaccard_components(docs), "jaccard-result")
+    kept = materialise(places.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "jaccard-kept")
+    repeated = places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count()
+    out = docs.join(few(kept), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return out.dropDuplicates(["doc_id"]) if repeated else out
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ from ._words import hashed_rows, mix
 from .elias_fano import Trie
 
 MASS = 500.0
-BLOCK_TOKENS, BLOCK_TEXTS = 1 << 21, 60_000
-RANGE_TOKENS = 1 << 21
+BLOCK_TOKENS, BLOCK_TEXTS = 3 << 19, 60_000
+RANGE_TOKENS = 1 << 20
 TOP = 32
 END = mix(np.array([0x1F2E3D4C5B6A7988], np.uint64))[0]
 _BIN, _LONG = pa.binary(), pa.int64()
