@@ -2,7 +2,8 @@
 
 Shingles are hashed into groups; a text is the point of its group counts. For two texts the shared shingles of a group
 are at most the smaller count, so the sum of coordinate minima bounds the overlap, and the same sum over the upper
-corners of two R-tree nodes bounds it for all their pairs. Pairs under the bound are verified on whole sets.
+corners of two R-tree nodes bounds it for all their pairs. Larger sets have more groups; points are folded onto fewer groups to be
+compared, and nodes use the fewest. Pairs that the bound leaves are verified on whole sets.
 
 How it is spread over a cluster without losing a link:
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship
@@ -36,7 +37,7 @@ from ._words import hashed_rows, mix
 from .graph import components
 
 WIDTH = 5
-GROUPS = 64
+GROUPS, MOST_GROUPS = 64, 1 << 14
 LEAF = 32
 BLOCK = 1024
 FREQUENT = 65_536
@@ -64,6 +65,25 @@ def sets_of(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
             yield shingles(hashes[offsets[k] : offsets[k + 1]], width)
 
 
+def point_of(found: np.ndarray) -> np.ndarray:
+    """Counts by group of hash bits: four shingles to a group about, GROUPS groups at least, a power of two."""
+    groups = GROUPS
+    while 4 * groups < len(found) and groups < MOST_GROUPS:
+        groups *= 2
+    return np.bincount((found >> np.uint64(20) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts over fewer groups."""
+    return point if len(point) == groups else point.reshape(-1, groups).sum(axis=0)
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """The sum of coordinate minima, over the groups that both points have."""
+    groups = min(len(p), len(q))
+    return int(np.minimum(folded(p, groups), folded(q, groups)).sum(dtype=np.int64))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= 75 * (len(a) + len(b) - common)
@@ -185,9 +205,10 @@ def _described(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 n.append(len(found))
                 f1.append(int(mix(found).sum(dtype=np.uint64)) if len(found) else 0)
                 f2.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(found) else 0)
-                points.append(np.bincount((found >> np.uint64(20) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32))
+                points.append(point_of(found))
                 prefixes.append(last(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
             flat = np.concatenate(points) if points else np.zeros(0, np.int32)
+            cuts = np.concatenate([[0], np.cumsum([len(p) for p in points])]).astype(np.int32)
             long = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +217,7 @@ def _described(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     pa.array(n, pa.int64()),
                     pa.array(np.array(f1, np.uint64).view(np.int64)),
                     pa.array(np.array(f2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * GROUPS), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(long)),
                 ],
                 names=["doc_id", "n", "f1", "f2", "point", "prefix"],
@@ -230,8 +251,19 @@ def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(rows.join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
 
 
-def _bound(p: str, q: str) -> Column:
-    return F.aggregate(F.zip_with(p, q, lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose points leave room for enough common shingles."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([x.values.to_numpy() for x in batch.column(k)] for k in (3, 5))
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            keep = [7 * overlap_bound(p, q) >= 3 * t for p, q, t in zip(left, right, total.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
+    both = both.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(step, "a long, b long")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -254,12 +286,14 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             keys = [table.column(k).to_numpy() for k in ("run", "i", "j")]
             cut = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else []
             rep, n, comp, side = (table.column(k).to_numpy() for k in ("rep", "n", "comp", "side"))
-            points = table.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+            points = [x.values.to_numpy() for x in table.column("point")]
+            coarse = np.stack([folded(p, GROUPS) for p in points])
             for low, high in zip(cut, [*cut[1:], table.num_rows], strict=True):
                 part = slice(low, high)
-                a, b = tree_join(points[part], n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
-                left.append(rep[part][a])
-                right.append(rep[part][b])
+                a, b = tree_join(coarse[part], n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
+                fine = np.array([7 * overlap_bound(points[low + x], points[low + y]) >= 3 * (n[low + x] + n[low + y]) for x, y in zip(a, b, strict=True)], bool)
+                left.append(rep[part][a[fine]])
+                right.append(rep[part][b[fine]])
             x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -302,9 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = materialise(runs.join(kept.select("run"), "run", "left_semi"), "jaccard-runs")
 
     star = runs.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
-    star = star.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")) & (7 * _bound("pa", "pb") >= 3 * (F.col("na") + F.col("nb"))))
-    star = materialise(star.select("a", "b"), "jaccard-pairs")
+    star = materialise(_bounded(star, points), "jaccard-pairs")
     links = materialise(_verified(star, _texts(rows, star)), "jaccard-links")
     labels = components(links)
 
