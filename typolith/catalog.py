@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from .plans import panel, tables
+
+_MODULES = [panel, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
