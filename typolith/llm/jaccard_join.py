@@ -11,8 +11,8 @@ How it is spread over a cluster without losing a link:
 2. Linked sets share one of their first n - ceil(3n/4) + 1 shingles under any common order. Shingles that are found often
    come last in that order, so shared passages seldom bring texts together. Texts that share such a shingle form a run;
    runs with equal members are kept once. A run is the root of an R-tree.
-3. First each text is held against the smallest of its run. This links the members of large groups of copies with as many
-   comparisons as the group has texts.
+3. First each text is held against one text of its run, another one in each of STAR_ROUNDS rounds. This links the members of large
+   groups of copies with as many comparisons as the group has texts.
 4. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
    they cannot change the result. Large runs are cut into blocks and each pair of blocks is a task's unit.
 
@@ -42,6 +42,7 @@ LEAF = 32
 BLOCK = 1024
 FREQUENT = 65_536
 FEW = 2_000_000
+STAR_ROUNDS = 3
 _LOCAL = 8
 _FLUSH = 1 << 21
 
@@ -315,6 +316,15 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(step, "a long, b long").distinct()
 
 
+def _open(runs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(run, rep, members, comp) of the runs that still span several components."""
+    if labels is None:
+        return runs.select("run", "rep", "members", F.col("rep").alias("comp"))
+    held = runs.join(labels, F.col("rep") == F.col("node"), "left").select("run", "rep", "members", F.coalesce("label", "rep").alias("comp"))
+    several = held.groupBy("run").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    return held.join(several.select("run"), "run", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     ship(docs.sparkSession)
@@ -335,14 +345,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = runs.groupBy("members", "mark", "head").agg(F.min("run").alias("run"))
     runs = materialise(runs.join(kept.select("run"), "run", "left_semi"), "jaccard-runs")
 
-    star = runs.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    star = materialise(_bounded(star, points), "jaccard-pairs")
-    links = materialise(_verified(star, _texts(rows, star)), "jaccard-links")
-    labels = components(links)
-
-    open_runs = runs.join(labels, F.col("rep") == F.col("node"), "left").select("run", "rep", "members", F.coalesce("label", "rep").alias("comp"))
-    several = open_runs.groupBy("run").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
-    open_runs = open_runs.join(several.select("run"), "run", "left_semi").join(points, "rep")
+    links = labels = None
+    for seed in range(STAR_ROUNDS):
+        held = _open(runs, labels)
+        heads = held.groupBy("run").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("head"))
+        star = held.join(heads, "run").filter("comp <> head.comp").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
+        star = materialise(_bounded(star, points), "jaccard-pairs")
+        found = _verified(star, _texts(rows, star))
+        links = materialise(found if links is None else links.union(found), "jaccard-links")
+        labels = components(links)
+
+    open_runs = _open(runs, labels).join(points, "rep")
     left = materialise(_tree_pairs(open_runs), "jaccard-pairs")
     late = materialise(links.union(_verified(left, _texts(rows, left))), "jaccard-links")
     labels = components(late)

@@ -28,7 +28,7 @@ from ..session import ship
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
 GROUP_ROWS = 8192
-_CACHE_SIZE = 250_000
+_CACHE_SIZE = 900_000
 #: Runs of white space that a cut at single spaces could split differently from the tokenizer.
 _UNSAFE = re.compile(r"\s \s|  ")
 _loaded: dict = {}
@@ -60,8 +60,14 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
         else:
             first, *rest = text.split(" ")
             cut.append([first, *[" " + w for w in rest]])
-    missing = list({w for words in cut for w in words if w not in cache})
+    wanted = {w for words in cut for w in words if w not in cache}
+    # letters and a mark after them are always tokens of their own, so a word with a mark is looked up without it
+    marked = {w for w in wanted if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()}
+    missing = list((wanted - marked) | {w[:-1] for w in marked if w[:-1] not in cache} | {".", ","})
     fresh = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
+    for w in marked:
+        stem = fresh.get(w[:-1])
+        fresh[w] = (cache[w[:-1]] if stem is None else stem) + fresh[w[-1]]
     long = {w: b for w, b in fresh.items() if len(w) > 64}
     cache.update((w, b) for w, b in fresh.items() if len(w) <= 64)
     get = cache.get
@@ -76,8 +82,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, id_co
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
                 for doc, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), tokenizer_path), strict=True):
                     ids += end
                     n = len(ids) // 4
