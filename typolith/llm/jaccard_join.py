@@ -3,7 +3,7 @@
 Shingles are hashed into groups; a text is the point of its group counts. For two texts the shared shingles of a group
 are at most the smaller count, so the sum of coordinate minima bounds the overlap, and the same sum over the upper
 corners of two R-tree nodes bounds it for all their pairs. Larger sets have more groups; points are folded onto fewer groups to be
-compared, and nodes use the fewest. Pairs that the bound leaves are verified on whole sets.
+compared; nodes use the fewest of their run, NODE_GROUPS at most. Pairs that the bound leaves are verified on whole sets.
 
 How it is spread over a cluster without losing a link:
 
@@ -11,8 +11,8 @@ How it is spread over a cluster without losing a link:
 2. Linked sets share one of their first n - ceil(3n/4) + 1 shingles under any common order. Shingles that are found often
    come last in that order, so shared passages seldom bring texts together. Texts that share such a shingle form a run;
    runs with equal members are kept once. A run is the root of an R-tree.
-3. First each text is held against one text of its run, another one in each of STAR_ROUNDS rounds. This links the members of large
-   groups of copies with as many comparisons as the group has texts.
+3. First each text is held against a few hubs of its run, HUBS of them and others in each round. This links the members of large
+   groups of copies with a fixed number of comparisons for each text of the group. Later rounds leave out runs as small as their hubs.
 4. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
    they cannot change the result. Large runs are cut into blocks and each pair of blocks is a task's unit.
 
@@ -37,12 +37,13 @@ from ._words import hashed_rows, mix
 from .graph import components
 
 WIDTH = 5
-GROUPS, MOST_GROUPS = 64, 1 << 14
+GROUPS, MOST_GROUPS = 64, 1 << 11
+NODE_GROUPS = 256
 LEAF = 32
 BLOCK = 1024
 FREQUENT = 65_536
 FEW = 2_000_000
-STAR_ROUNDS = 3
+HUBS = (1, 4, 8)
 _LOCAL = 8
 _FLUSH = 1 << 21
 
@@ -67,11 +68,15 @@ def sets_of(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
 
 def point_of(found: np.ndarray) -> np.ndarray:
-    """Counts by group of hash bits: four shingles to a group about, GROUPS groups at least, a power of two."""
+    """Counts by group of hash bits: at most a shingle to a group on average, from GROUPS to MOST_GROUPS groups, a power of two.
+
+    With few shingles to a group the bound is near the true overlap. Sets beyond 32 * MOST_GROUPS have more groups, which keeps
+    counts far below what 8 bits hold.
+    """
     groups = GROUPS
-    while 4 * groups < len(found) and groups < MOST_GROUPS:
+    while groups < len(found) and groups < MOST_GROUPS or 32 * groups < len(found):
         groups *= 2
-    return np.bincount((found >> np.uint64(20) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((found >> np.uint64(20) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int8)
 
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
@@ -208,7 +213,7 @@ def _described(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 f2.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(found) else 0)
                 points.append(point_of(found))
                 prefixes.append(last(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            flat = np.concatenate(points) if points else np.zeros(0, np.int32)
+            flat = np.concatenate(points) if points else np.zeros(0, np.int8)
             cuts = np.concatenate([[0], np.cumsum([len(p) for p in points])]).astype(np.int32)
             long = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -224,7 +229,7 @@ def _described(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 names=["doc_id", "n", "f1", "f2", "point", "prefix"],
             )
 
-    return docs.mapInArrow(step, "doc_id long, n long, f1 long, f2 long, point array<int>, prefix array<long>")
+    return docs.mapInArrow(step, "doc_id long, n long, f1 long, f2 long, point array<tinyint>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -246,10 +251,16 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the texts that are in a pair, each once."""
+def has_repeats(places: DataFrame) -> bool:
+    """Whether an id occurs in several rows."""
+    return bool(places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count())
+
+
+def _texts(rows: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """(doc_id, text) of the texts that are in a pair, each once; repeated: whether rows has an id twice."""
     ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    return materialise(rows.join(few(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-texts")
+    texts = rows.join(few(ids), "doc_id", "left_semi")
+    return materialise(texts.dropDuplicates(["doc_id"]) if repeated else texts, "jaccard-texts")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -288,10 +299,11 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else []
             rep, n, comp, side = (table.column(k).to_numpy() for k in ("rep", "n", "comp", "side"))
             points = [x.values.to_numpy() for x in table.column("point")]
-            coarse = np.stack([folded(p, GROUPS) for p in points])
             for low, high in zip(cut, [*cut[1:], table.num_rows], strict=True):
                 part = slice(low, high)
-                a, b = tree_join(coarse[part], n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
+                width = min(NODE_GROUPS, min(len(p) for p in points[part]))
+                coarse = np.stack([folded(p, width) for p in points[part]]).astype(np.int16)
+                a, b = tree_join(coarse, n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
                 fine = np.array([7 * overlap_bound(points[low + x], points[low + y]) >= 3 * (n[low + x] + n[low + y]) for x, y in zip(a, b, strict=True)], bool)
                 left.append(rep[part][a[fine]])
                 right.append(rep[part][b[fine]])
@@ -337,27 +349,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = classes.select(F.col("n").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
     placed = materialise(key.join(reps, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left").select("doc_id", "n", "rep"), "jaccard-places")
 
-    # runs of texts, then of classes: most shingles are in one text only and end here
-    shared = every.select(F.explode("prefix").alias("run"), "doc_id").selectExpr("run", "doc_id", "count(*) OVER (PARTITION BY run) AS texts").filter("texts > 1")
-    shared = shared.join(placed.filter("rep IS NOT NULL").select("doc_id", "rep").distinct(), "doc_id").select("run", "rep").distinct()
+    repeated = has_repeats(placed)
+    first = every.join(few(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "prefix")
+    if repeated:
+        first = first.dropDuplicates(["doc_id"])
+    # runs of classes: most shingles are in one class only and end here
     whole = ["count(*) OVER (PARTITION BY run) AS members", "sum(xxhash64(rep) % 1099511627776) OVER (PARTITION BY run) AS mark", "min(rep) OVER (PARTITION BY run) AS head"]
+    shared = first.select(F.explode("prefix").alias("run"), F.col("doc_id").alias("rep"))
     runs = materialise(shared.selectExpr("run", "rep", *whole).filter("members > 1"), "jaccard-runs")
     kept = runs.groupBy("members", "mark", "head").agg(F.min("run").alias("run"))
     runs = materialise(runs.join(kept.select("run"), "run", "left_semi"), "jaccard-runs")
 
     links = labels = None
-    for seed in range(STAR_ROUNDS):
-        held = _open(runs, labels)
-        heads = held.groupBy("run").agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("head"))
+    for seed, hubs in enumerate(HUBS):
+        held = _open(runs.filter(F.col("members") > hubs), labels)
+        bucket = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(hubs)).alias("bucket")
+        heads = held.groupBy("run", bucket).agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("head")).drop("bucket")
         star = held.join(heads, "run").filter("comp <> head.comp").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
         star = materialise(_bounded(star, points), "jaccard-pairs")
-        found = _verified(star, _texts(rows, star))
+        found = _verified(star, _texts(rows, star, repeated))
         links = materialise(found if links is None else links.union(found), "jaccard-links")
         labels = components(links)
 
     open_runs = _open(runs, labels).join(points, "rep")
     left = materialise(_tree_pairs(open_runs), "jaccard-pairs")
-    late = materialise(links.union(_verified(left, _texts(rows, left))), "jaccard-links")
+    late = materialise(links.union(_verified(left, _texts(rows, left, repeated))), "jaccard-links")
     labels = components(late)
     out = placed.join(labels, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
@@ -367,9 +383,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with all columns, whose id is the smallest of its component; repeated ids stay once."""
     places = materialise(jaccard_components(docs), "jaccard-result")
     kept = materialise(places.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "jaccard-kept")
-    repeated = places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count()
     out = docs.join(few(kept), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return out.dropDuplicates(["doc_id"]) if has_repeats(places) else out
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
