@@ -12,7 +12,7 @@ How it is spread over a cluster without losing a link:
    come last in that order, so shared passages seldom bring texts together. Texts that share such a shingle form a run;
    runs with equal members are kept once. A run is the root of an R-tree.
 3. First each text is held against a few hubs of its run, HUBS of them and others in each round. This links the members of large
-   groups of copies with a fixed number of comparisons for each text of the group. Later rounds leave out runs as small as their hubs.
+   groups of copies with a fixed number of comparisons for each text of the group. Later rounds leave out runs of up to LARGE_RUN texts.
 4. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
    they cannot change the result. Large runs are cut into blocks and each pair of blocks is a task's unit.
 
@@ -44,6 +44,7 @@ BLOCK = 1024
 FREQUENT = 65_536
 FEW = 2_000_000
 HUBS = (1, 4, 8)
+LARGE_RUN = 64
 _LOCAL = 8
 _FLUSH = 1 << 21
 
@@ -362,7 +363,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = labels = None
     for seed, hubs in enumerate(HUBS):
-        held = _open(runs.filter(F.col("members") > hubs), labels)
+        held = _open(runs.filter(F.col("members") > LARGE_RUN) if seed else runs, labels)
         bucket = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(hubs)).alias("bucket")
         heads = held.groupBy("run", bucket).agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("head")).drop("bucket")
         star = held.join(heads, "run").filter("comp <> head.comp").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
