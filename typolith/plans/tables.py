@@ -37,10 +37,10 @@ _add("event_transitions", "SELECT origin, target, count(*) AS n FROM (SELECT lag
 _add("label_contingency", "SELECT CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic, count(*) AS n FROM {labels} GROUP BY quality, toxic")
 
 # vectors and graphs; edges go both ways
-_PAIRS_SPARK = """WITH v AS (SELECT vec_id, label, transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM {embeddings} WHERE vec_id < 100000),
+_PAIRS_SPARK = """WITH v AS (SELECT vec_id, label, transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM {embeddings}),
  u AS (SELECT vec_id, label, e, sqrt(aggregate(e, 0e0, (a, x) -> a + x * x)) AS norm FROM v),
  sims AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, round(aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0e0, (s, x) -> s + x) / (a.norm * b.norm), 9) AS s FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id),"""
-_PAIRS_DUCK = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 100000),
+_PAIRS_DUCK = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  sims AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),"""
 _GRAPH = """ near AS (SELECT i, j, li, lj, s FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM sims) AS r WHERE k <= 15),
  mutual AS (SELECT a.i, a.j, a.li, a.lj, greatest(a.s, 1e-9) AS w FROM near AS a JOIN near AS b ON a.i = b.j AND a.j = b.i),
