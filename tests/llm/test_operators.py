@@ -1,6 +1,7 @@
 """Each operator on edge cases and against a plain form."""
 
 import math
+import random
 import zlib
 
 import brute_jaccard
@@ -31,7 +32,7 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     rows = packing.pack_documents(docs).collect()
-    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_files()[0])
     for i, text in enumerate(TEXTS):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
         own = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
@@ -45,13 +46,15 @@ def test_packing(docs):
     assert packing.pack_documents(_empty(docs)).count() == 0
 
 
-def test_token_cache_matches_whole_texts():
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(packing.tokenizer_file())
-    odd = ["a  b", "  a", "a \n b", "<|endoftext|> x", " \n \n x", "it's ok.", "é,, l'été. 1.5, x", "  a.", "a ", ".", "x.,"]
-    for text, ids in zip(odd, packing.token_bytes(odd, packing.tokenizer_file()), strict=True):
-        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def test_quick_ids_match_the_tokenizer():
+    path, ranks = packing.tokenizer_files()
+    odd = ["a  b", "  a", "a \n b", "<|endoftext|> x", " \n \n x", "it's ok.", "é,, l'été. 1.5, x", "  a.", "a ", ".", "x.,", "日本 \u3000語", "\u0378 \U0001f600", "x\x85\x1c y", "", None]
+    dice = random.Random(1)
+    signs = [chr(c) for c in range(0x250)] + [" ", "\n", "'s", "<|endoftext|>"] * 60
+    odd += ["".join(dice.choices(signs, k=dice.randint(0, 30))) for _ in range(3000)]
+    blocks = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not packing._UNSETTLED.search(chr(c))]
+    odd += [f"a{c}a1{c}1 {c}.{c} {c}{c}b" for c in blocks]
+    assert list(packing.token_bytes(odd, path, ranks)) == list(packing.token_bytes(odd, path))
 
 
 def test_pack_respects_every_limit():

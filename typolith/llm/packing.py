@@ -13,6 +13,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -28,53 +29,44 @@ from ..session import ship
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
 GROUP_ROWS = 8192
-_CACHE_SIZE = 900_000
-#: Runs of white space that a cut at single spaces could split differently from the tokenizer.
-_UNSAFE = re.compile(r"\s \s|  ")
+#: Characters outside of old, settled blocks (Latin, Greek, Cyrillic, punctuation, kana, common ideographs). Libraries may know them by
+#: different editions of Unicode, so texts with them are cut into tokens by the tokenizer itself.
+_UNSETTLED = re.compile(r"[^\x00-\u024f\u0391-\u03a1\u03a3-\u03ff\u0400-\u045f\u2000-\u2063\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 _loaded: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+def _encoders(path: str, ranks_path: str | None) -> tuple:
+    """The tokenizer of a file, and a faster encoder over the same vocabulary if its ranks are given."""
+    if (path, ranks_path) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
+        tokenizer, quick = Tokenizer.from_file(path), None
+        if ranks_path:
+            import public_tokenizers
+            import tiktoken
 
+            with open(ranks_path, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+            quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        _loaded[path, ranks_path] = tokenizer, quick
+    return _loaded[path, ranks_path]
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit values.
 
-    This pre-tokenizer always starts a new token at a single space, so ids of "a b" are those of "a" and " b". Words
-    repeat, so each is encoded once and looked up afterwards.
-    """
-    tokenizer, cache = _tokenizer(path)
-    if len(cache) > _CACHE_SIZE:
-        cache.clear()
-    cut: list[list[str]] = []
+def token_bytes(texts: list[str | None], path: str, ranks_path: str | None = None) -> Iterator[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit values, one text at a time."""
+    tokenizer, quick = _encoders(path, ranks_path)
     for text in texts:
-        text = text or ""
-        if _UNSAFE.search(text):
-            cut.append([text])
+        if not text:
+            yield b""
+        elif quick is None or not text.isascii() and _UNSETTLED.search(text):
+            yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            first, *rest = text.split(" ")
-            cut.append([first, *[" " + w for w in rest]])
-    wanted = {w for words in cut for w in words if w not in cache}
-    # letters and a mark after them are always tokens of their own, so a word with a mark is looked up without it
-    marked = {w for w in wanted if len(w) > 2 and w[-1] in ".," and w[-2].isalpha()}
-    missing = list((wanted - marked) | {w[:-1] for w in marked if w[:-1] not in cache} | {".", ","})
-    fresh = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
-    for w in marked:
-        stem = fresh.get(w[:-1])
-        fresh[w] = (cache[w[:-1]] if stem is None else stem) + fresh[w[-1]]
-    long = {w: b for w, b in fresh.items() if len(w) > 64}
-    cache.update((w, b) for w, b in fresh.items() if len(w) <= 64)
-    get = cache.get
-    return [b"".join([b if (b := get(w)) is not None else long[w] for w in words]) for words in cut]
-
-
-def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            yield quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document cut into full sequences and a rest."""
     ship(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
@@ -84,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, id_co
             out: list[tuple] = []
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                for doc, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), tokenizer_path), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), token_bytes(part.column(1).to_pylist(), tokenizer_path, ranks_path), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, sequence):
@@ -161,15 +153,17 @@ def pack_pieces(rows: DataFrame, n_rows: int, sequence: int = SEQUENCE, segments
     return dealt.select(*names, "_loss", "_group").groupBy("_group").applyInPandas(step, schema)
 
 
-def tokenizer_file() -> str:
+def tokenizer_files() -> tuple[str, str]:
+    """A byte-level vocabulary as a tokenizer and as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece of every document, with its place in a sequence."""
-    return pack_pieces(pieces(docs, tokenizer_path or tokenizer_file()), docs.count())
+    files = (tokenizer_path,) if tokenizer_path else tokenizer_files()
+    return pack_pieces(pieces(docs, *files), docs.count())
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
