@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import panel, tables
+from .plans import models, panel, tables
 
-_MODULES = [panel, tables]
+_MODULES = [panel, tables, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
