@@ -162,6 +162,14 @@ def test_pii_disclosing_term(spark):
     assert {r.doc_id for r in found} == {0, 1, 2, 3}
 
 
+def test_pii_rare_and_copied_entities(spark):
+    rows = [(0, "quokka writes to rare@site.org"), *[(i, "wombat writes to copied@site.org") for i in range(1, 9)], *[(i, "plain words only") for i in range(10, 400)]]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (0, 6, True) in [tuple(s) for s in out[0].added]
+    assert all((0, 6, True) in [tuple(s) for s in out[i].added] for i in range(1, 9))
+    assert not out[10].added
+
+
 def test_jaccard_join(spark, docs):
     words = [f"w{i}" for i in range(80)]
     near = [(100 + k, " ".join(words[:k] + ["new"] + words[k + 1 :])) for k in range(0, 80, 9)]

@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 1. Direct identifiers (email, ip, card, phone) are found in whole texts; each distinct value is a protected entity.
-2. Every document's words give corpus document frequencies; words near an entity give co-occurrence counts, where
-   the same surroundings count once, however often they are copied.
-3. A word discloses an entity when it co-occurs in enough different surroundings, predicts the entity
-   (co-occurrence / document frequency) and carries enough pointwise mutual information. Such words near
+2. Every document's words give corpus document frequencies; words near an entity give co-occurrence counts. Both count
+   documents, copies included.
+3. A word discloses an entity when it predicts the entity (co-occurrence / document frequency) and carries enough pointwise
+   mutual information; an entity named in a single document can be disclosed too. Such words near
    the entity become spans of kind `term`: removed when they predict it almost surely, generalised otherwise.
 
 The pattern of each kind matches the same leftmost, non-overlapping strings as its plain form; possessive
@@ -29,7 +29,7 @@ KINDS = (
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+"),
 )
 REACH = 48
-MIN_SUPPORT, MIN_PREDICTION, SURE, MIN_BITS = 3, 0.5, 0.9, 4.0
+MIN_PREDICTION, SURE, MIN_BITS = 0.5, 0.9, 4.0
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -105,10 +105,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def disclosing_terms(mentions: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
     """(kind, value, term, prediction, bits): words over the disclosure thresholds for an entity.
 
-    mentions: (kind, value, term, surroundings); n_docs: documents of the corpus.
+    mentions: (kind, value, term, row), row being one of each document; n_docs: documents of the corpus.
     """
-    places = mentions.select("kind", "value", "surroundings").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("ce"))
-    both = mentions.select("kind", "value", "term", "surroundings").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("cte")).filter(F.col("cte") >= MIN_SUPPORT)
+    places = mentions.select("kind", "value", "row").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("ce"))
+    both = mentions.select("kind", "value", "term", "row").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("cte"))
     prediction = F.least(F.lit(1.0), F.col("cte") / F.col("df"))
     bits = F.log2(F.col("cte") * F.lit(float(max(n_docs, 1))) / (F.col("df") * F.col("ce")))
     scored = both.join(places, ["kind", "value"]).join(frequencies, "term").select("kind", "value", "term", prediction.alias("prediction"), bits.alias("bits"))
@@ -117,11 +117,11 @@ def disclosing_terms(mentions: DataFrame, frequencies: DataFrame, n_docs: int) -
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, added) for every row: direct spans, and words that disclose an entity near them."""
-    base = materialise(identified(docs), "pii")
-    mention = base.select("doc_id", "text_hash", F.explode("spans").alias("s"))
+    base = materialise(identified(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
+    mention = base.select("doc_id", "text_hash", "row", F.explode("spans").alias("s"))
     inside = lambda text, at: F.transform(located(text, r"\p{L}{4,}+"), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), F.lower(w["value"]).alias("term")))
     words = F.concat(inside(F.col("s.before"), F.col("s.low")), inside(F.col("s.after"), F.col("s.end")))
-    terms = mention.select("doc_id", "text_hash", "s.kind", "s.value", F.xxhash64("s.before", "s.after").alias("surroundings"), F.explode(words).alias("w")).select("doc_id", "text_hash", "kind", "value", "surroundings", "w.*")
+    terms = mention.select("doc_id", "text_hash", "s.kind", "s.value", "row", F.explode(words).alias("w")).select("doc_id", "text_hash", "kind", "value", "row", "w.*")
     terms = materialise(terms, "pii-terms")
     guilty = disclosing_terms(terms, document_frequencies(docs), docs.count())
     added = terms.join(guilty, ["kind", "value", "term"]).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end", (F.col("prediction") >= SURE).alias("sure")))).alias("added"))
