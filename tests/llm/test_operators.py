@@ -170,6 +170,16 @@ def test_pii_rare_and_copied_entities(spark):
     assert not out[10].added
 
 
+def test_pii_terms_of_whole_texts(spark):
+    far = "zanzibar xq" + " same words" * 40
+    rows = [*[(i, f"{far} \U0001f600 far@site.org then far") for i in range(3)], (3, "only Zanzibar here, and ZANZIBAR"), *[(i, "plain same words here and only") for i in range(10, 200)]]
+    out = {r.doc_id: [(s.start, s.end, s.sure) for s in r.added] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(0, 8, False), (9, 11, True)} <= set(out[0])
+    assert out[3] == [(5, 13, False), (24, 32, False)]
+    assert all(rows[0][1][a:b] in ("zanzibar", "xq", "then", "far") for a, b, _ in out[0])
+    assert not out[10]
+
+
 def test_jaccard_join(spark, docs):
     words = [f"w{i}" for i in range(80)]
     near = [(100 + k, " ".join(words[:k] + ["new"] + words[k + 1 :])) for k in range(0, 80, 9)]

@@ -1,11 +1,12 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 1. Direct identifiers (email, ip, card, phone) are found in whole texts; each distinct value is a protected entity.
-2. Every document's words give corpus document frequencies; words near an entity give co-occurrence counts. Both count
-   documents, copies included.
+2. Words outside direct identifiers give document frequencies, and co-occurrence counts with every entity that the same
+   document names. Both count whole documents, copies included; a word is a run of letters of any length.
 3. A word discloses an entity when it predicts the entity (co-occurrence / document frequency) and carries enough pointwise
-   mutual information; an entity named in a single document can be disclosed too. Such words near
-   the entity become spans of kind `term`: removed when they predict it almost surely, generalised otherwise.
+   mutual information; an entity named in a single document can be disclosed too. Every
+   occurrence of such words, in any document, becomes a span of kind `term`: removed when they predict an entity almost
+   surely, generalised otherwise.
 
 The pattern of each kind matches the same leftmost, non-overlapping strings as its plain form; possessive
 quantifiers and lookbehinds only spare backtracking, so long runs take linear time.
@@ -28,9 +29,13 @@ KINDS = (
     ("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,}+", None),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+"),
 )
-REACH = 48
+#: A run of letters with their marks.
+WORD = r"\p{L}[\p{L}\p{M}]*+"
+#: The most numbers that a filter before a join is sent as.
+BUCKETS = 1 << 20
 MIN_PREDICTION, SURE, MIN_BITS = 0.5, 0.9, 4.0
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_TERMS = "array<struct<start:int,end:int,sure:boolean>>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -83,51 +88,80 @@ def direct_spans(text: Column) -> Column:
     return F.concat(*[_spans_of(text, *kind) for kind in KINDS])
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with a zero for every character of its spans, so that places in it stay."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def put(acc: Column, s: Column) -> Column:
+        low, high = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
+        return F.struct(high.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, low - acc["at"]), F.repeat(F.lit("0"), high - low)).alias("out"))
+
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    whole = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(1 << 30))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, spans): spans with the text that surrounds each."""
+    """(doc_id, text_hash, spans, terms): direct spans, and the distinct lower-case words outside them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", direct_spans(F.col("text")).alias("spans"))
+    words = lambda spans: F.array_distinct(F.regexp_extract_all(masked(F.col("text"), spans), F.lit(WORD), F.lit(0)))
+    # the lambda's variable and the generator keep the spans from being found once for each use
+    both = F.transform(F.array(direct_spans(F.col("text"))), lambda s: F.struct(s.alias("spans"), F.array_distinct(F.transform(words(s), F.lower)).alias("terms")))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(both))
+
 
-    def near(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        before, after = F.substring(F.col("text"), low + 1, s["start"] - low), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), low.alias("low"), before.alias("before"), after.alias("after"))
+def places_of(rest: Column, guilty: Column) -> Column:
+    """(start, end, sure) of every word of a masked text that is a key of guilty, a map from term to sure."""
+    hits = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
+    gaps = F.slice(F.split(rest, WORD, -1), F.lit(1), F.size(hits))
+    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), F.element_at(guilty, F.lower(h)).alias("sure")))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        found = F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["sure"].alias("sure")))
+        return F.struct((start + x["size"]).alias("at"), F.when(x["sure"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
+
+    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
 
-    return rows.select("doc_id", "text_hash", F.transform("spans", near).alias("spans"))
 
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): in how many documents each lower-case word of four letters or more occurs, over all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}{4,}+"), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+def _thinned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of left whose key may be in right, by a broadcast of at most BUCKETS numbers; a join still decides."""
+    return left.withColumn("_b", _bucket(F.col(key))).join(F.broadcast(right.select(_bucket(F.col(key)).alias("_b")).distinct()), "_b", "left_semi").drop("_b")
 
-def disclosing_terms(mentions: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
-    """(kind, value, term, prediction, bits): words over the disclosure thresholds for an entity.
 
-    mentions: (kind, value, term, row), row being one of each document; n_docs: documents of the corpus.
-    """
-    places = mentions.select("kind", "value", "row").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("ce"))
-    both = mentions.select("kind", "value", "term", "row").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("cte"))
-    prediction = F.least(F.lit(1.0), F.col("cte") / F.col("df"))
-    bits = F.log2(F.col("cte") * F.lit(float(max(n_docs, 1))) / (F.col("df") * F.col("ce")))
-    scored = both.join(places, ["kind", "value"]).join(frequencies, "term").select("kind", "value", "term", prediction.alias("prediction"), bits.alias("bits"))
-    return scored.filter((F.col("prediction") >= MIN_PREDICTION) & (F.col("bits") >= MIN_BITS))
+def disclosing_terms(base: DataFrame) -> DataFrame:
+    """(kind, value, term, prediction, bits): words over the disclosure thresholds for an entity, counted over whole documents."""
+    n_docs = max(base.count(), 1)
+    named = base.filter(F.size("spans") > 0).select("terms", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
+    named = named.select("e.kind", "e.value", "terms")
+    counts = named.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("ce"))
+    both = named.select("kind", "value", F.explode("terms").alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("cte"))
+    frequencies = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    likely = both.join(frequencies, "term").withColumn("prediction", F.col("cte") / F.col("df")).filter(F.col("prediction") >= MIN_PREDICTION)
+    bits = F.log2(F.col("cte") * F.lit(float(n_docs)) / (F.col("df") * F.col("ce")))
+    return likely.join(counts, ["kind", "value"]).select("kind", "value", "term", "prediction", bits.alias("bits")).filter(F.col("bits") >= MIN_BITS)
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, base, added) for every row: direct spans, and words that disclose an entity near them."""
-    base = materialise(identified(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
-    mention = base.select("doc_id", "text_hash", "row", F.explode("spans").alias("s"))
-    inside = lambda text, at: F.transform(located(text, r"\p{L}{4,}+"), lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), F.lower(w["value"]).alias("term")))
-    words = F.concat(inside(F.col("s.before"), F.col("s.low")), inside(F.col("s.after"), F.col("s.end")))
-    terms = mention.select("doc_id", "text_hash", "s.kind", "s.value", "row", F.explode(words).alias("w")).select("doc_id", "text_hash", "kind", "value", "row", "w.*")
-    terms = materialise(terms, "pii-terms")
-    guilty = disclosing_terms(terms, document_frequencies(docs), docs.count())
-    added = terms.join(guilty, ["kind", "value", "term"]).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end", (F.col("prediction") >= SURE).alias("sure")))).alias("added"))
-    added = added.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "added")
-    out = base.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return out.select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce("added", F.array().cast("array<struct<start:int,end:int,sure:boolean>>")).alias("added"))
+    """(doc_id, text_hash, base, added) for every row: direct spans, and every word that discloses an entity of any document."""
+    base = materialise(identified(docs), "pii")
+    guilty = materialise(disclosing_terms(base).groupBy("term").agg((F.max("prediction") >= SURE).alias("sure")), "pii-guilty")
+    has = _thinned(base.select("doc_id", "text_hash", F.explode("terms").alias("term")), guilty, "term").join(guilty, "term")
+    has = materialise(has.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "sure"))).alias("guilty")), "pii-has")
+    has = has.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "guilty")
+    same = lambda x: x["doc_id"].eqNullSafe(F.col("_id")) & (x["text_hash"] == F.col("_hash"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = _thinned(texts, has.select(F.col("_hash").alias("text_hash")), "text_hash")
+    texts = texts.join(has, same(texts)).dropDuplicates(["_id", "_hash"])
+    rest = F.transform(F.array(direct_spans(F.col("text"))), lambda s: masked(F.col("text"), s))
+    added = texts.select("_id", "_hash", "guilty", F.explode(rest).alias("rest")).select("_id", "_hash", places_of(F.col("rest"), F.col("guilty")).alias("added"))
+    out = base.select("doc_id", "text_hash", "spans").join(added, same(base), "left")
+    return out.select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce("added", F.array().cast(_TERMS)).alias("added"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
