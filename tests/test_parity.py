@@ -14,3 +14,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_as_sql_oracle(spark, con, name):
     assert same(catalog.queries()[name](spark, SF), con, catalog.oracle_sql()[name]) is None
+
+
+def test_epsilon_graph_has_as_many_edges_as_the_mutual(spark):
+    mutual = catalog.queries()["knn_mutual"](spark, SF).count()
+    assert catalog.queries()["epsilon_edges_mutual"](spark, SF).count() == mutual // 2 > 500

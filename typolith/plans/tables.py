@@ -56,6 +56,8 @@ _graph("cosine_pairs", "SELECT i, j, R[s;6] AS s FROM sims WHERE i < j AND s > 0
 _graph("knn_mutual", "SELECT i, j, R[w;6] AS w FROM mutual")
 _graph("knn_union", "SELECT i, j, R[max(s);6] AS w FROM (SELECT i, j, s FROM near UNION ALL SELECT j, i, s FROM near) AS x GROUP BY i, j")
 _graph("epsilon_edges", "SELECT i, j, R[s;6] AS s FROM sims WHERE i < j ORDER BY s DESC, i, j LIMIT 500")
+# epsilon_edges stops at 500 edges, as its SQL does; this one keeps as many as the mutual graph has
+_graph("epsilon_edges_mutual", "SELECT i, j, R[s;6] AS s FROM (SELECT i, j, s, row_number() OVER (ORDER BY s DESC, i, j) AS k FROM sims WHERE i < j) AS r CROSS JOIN (SELECT count(*) / 2 AS n FROM mutual) AS m WHERE k <= n")
 _graph("disparity_edges", "SELECT m.i, m.j, R[m.w;6] AS w FROM mutual AS m JOIN degree AS a ON a.i = m.i WHERE a.d > 1 AND power(1 - m.w / a.strength, a.d - 1) < 0.4")
 _graph("graph_stats", "SELECT CAST(sum(d) / 2 AS BIGINT) AS edges, R[avg(d);6] AS mean_degree, min(d) AS least, max(d) AS most FROM degree")
 _graph("row_normalise", "SELECT m.i, m.j, R[m.w / a.strength;6] AS p FROM mutual AS m JOIN degree AS a ON a.i = m.i")
