@@ -3,34 +3,39 @@
 Shingles are hashed into groups; a text is the point of its group counts. For two texts the shared shingles of a group
 are at most the smaller count, so the sum of coordinate minima bounds the overlap, and the same sum over the upper
 corners of two R-tree nodes bounds it for all their pairs. Larger sets have more groups; points are folded onto fewer groups to be
-compared; nodes use the fewest of their run, NODE_GROUPS at most. Pairs that the bound leaves are verified on whole sets.
+compared; nodes use the fewest of their run, NODE_GROUPS at most. Only pairs that the bound leaves are verified, on whole sets.
 
 How it is spread over a cluster without losing a link:
 
-1. Texts with equal sets become one class, whose smallest id stands for it.
-2. Linked sets share one of their first n - ceil(3n/4) + 1 shingles under any common order. Shingles that are found often
-   come last in that order, so shared passages seldom bring texts together. Texts that share such a shingle form a run;
-   runs with equal members are kept once. A run is the root of an R-tree.
-3. First each text is held against a few hubs of its run, HUBS of them and others in each round. This links the members of large
-   groups of copies with a fixed number of comparisons for each text of the group. Later rounds leave out runs of up to LARGE_RUN texts.
-4. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
-   they cannot change the result. Large runs are cut into blocks and each pair of blocks is a task's unit.
-
-The list of frequent shingles is bounded and only orders shingles: another list gives the same links.
+1. Texts with equal sets become one class.
+2. The classes' shingles are counted by hash range: blocks of texts send sorted 48-bit ids, ranges reply which are shared and how often.
+   Under the order "rarer first" linked sets share one of their first n - ceil(3n/4) + 1 shingles, and the smaller set has it among its
+   first n - ceil(6n/7) + 1 (Chaudhuri et al.'s prefix filter with the size-aware prefix of Bayardo et al.). Shingles of one class only
+   come first and bring nobody together, so a text with enough of its own is done, and shared passages come last.
+3. Texts that share such a shingle, one of them in its short prefix, form a run; runs with equal members are kept once. A run is the root
+   of an R-tree.
+4. In each of ROUNDS rounds every text is held against one pivot of its runs, the one it meets in most of them, if the bound allows. This
+   links the members of large groups of copies with one comparison for each text.
+5. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
+   they cannot change the result. Large runs are cut into blocks, and pairs of blocks with one and the same component are left out.
 
 Edge cases: null and empty texts have size 0 and are linked with nothing; texts under five words are one shingle; equal
-texts are always linked (distance 0) unless empty; an id that is repeated must repeat its text; an empty table gives no rows; other
-columns are ignored. Words are compared by 64-bit hashes.
+texts are always linked unless empty; repeated rows are copies; an id that is repeated with another text, or is null, is a text like any
+other, and a component is named by its smallest id that is not null (null if it has none); an empty table gives no rows; other
+columns are ignored. Words, shingles and classes are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise, ship
 from ._words import hashed_rows, mix
@@ -40,13 +45,17 @@ WIDTH = 5
 GROUPS, MOST_GROUPS = 64, 1 << 11
 NODE_GROUPS = 256
 LEAF = 32
-BLOCK = 1024
-FREQUENT = 65_536
-FEW = 2_000_000
-HUBS = (1, 4, 8)
-LARGE_RUN = 64
-_LOCAL = 8
-_FLUSH = 1 << 21
+ROUNDS = 3
+_SALTS = 8
+
+
+class Sizes(NamedTuple):
+    """How the work is cut; other sizes give the same result."""
+
+    block_items: int = 1 << 21  # shingles of a block of texts
+    range_items: int = 1 << 21  # shingles of a hash range
+    tree_rows: int = 1024  # texts of a block of a run
+    few: int = 2_000_000  # the longest list of keys that is broadcast
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -163,161 +172,248 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: n
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that occur in many texts, rarer ones first; a bounded list that only serves to order shingles."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def counted() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= _LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["s", "n"])
-
-        for batch in batches:
-            for found in sets_of(batch.column(0)):
-                held.append(found)
-                size += len(found)
-                if size > _FLUSH:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
+def fingerprint(found: np.ndarray) -> int:
+    """A 64-bit key of a shingle set."""
+    sums = np.array([mix(found).sum(dtype=np.uint64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(found)], np.uint64)
+    return int((mix(sums[:1] ^ mix(sums[1:2] + mix(sums[2:])))).view(np.int64)[0])
 
-    counts = docs.mapInArrow(step, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
-    return np.array([r["s"] for r in reversed(rows)], np.int64).view(np.uint64)
 
+def prefix_sizes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of n shingles must hold a common one: with any linked set, and with one that is not smaller."""
+    return n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
 
-def _described(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, point, prefix) of every row of (doc_id, text)."""
-    ranks = np.argsort(frequent)
-    known = frequent[ranks]
 
-    def last(found: np.ndarray) -> np.ndarray:
-        take = len(found) - (3 * len(found) + 3) // 4 + 1
-        if not len(known):
-            return found[:take]
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        often = known[at] == found
-        plain = found[~often]
-        if len(plain) >= take:
-            return plain[:take]
-        return np.concatenate([plain, found[often][np.argsort(ranks[at[often]], kind="stable")]])[:take]
+def _keyed(rows: DataFrame) -> DataFrame:
+    """(doc_id, n, key) of every row of (doc_id, text)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, points, prefixes = [], [], [], [], []
-            for found in sets_of(batch.column(1)):
-                n.append(len(found))
-                f1.append(int(mix(found).sum(dtype=np.uint64)) if len(found) else 0)
-                f2.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if len(found) else 0)
-                points.append(point_of(found))
-                prefixes.append(last(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            flat = np.concatenate(points) if points else np.zeros(0, np.int8)
-            cuts = np.concatenate([[0], np.cumsum([len(p) for p in points])]).astype(np.int32)
-            long = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(f1, np.uint64).view(np.int64)),
-                    pa.array(np.array(f2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(long)),
-                ],
-                names=["doc_id", "n", "f1", "f2", "point", "prefix"],
-            )
+            sets = [(len(s), fingerprint(s)) for s in sets_of(batch.column(1))]
+            n, key = (pa.array([s[k] for s in sets], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, key], names=["doc_id", "n", "key"])
 
-    return docs.mapInArrow(step, "doc_id long, n long, f1 long, f2 long, point array<tinyint>, prefix array<long>")
+    return rows.mapInArrow(step, "doc_id long, n long, key long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
+_MESSAGE = ["r", "block", "low", "high", "at", "times", "docs", "meta"]
+_REPLY = ["r", "block", "at", "freq", "rank", "docs", "meta"]
+_BIN, _LONG = pa.binary(), pa.int64()
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [linked(x, y) for x, y in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(step, "a long, b long")
 
+def _table(names: list[str], rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.table([pa.array(c, _LONG if k < 2 else _BIN) for k, c in enumerate(columns)], names=names)
 
-def few(ids: DataFrame) -> DataFrame:
-    """A small table of ids with a hint to send it to all executors; a larger one as it is, for a shuffled join."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
 
+def _announced(rows: DataFrame, ranges: int, block_items: int) -> DataFrame:
+    """Messages (r, block, ...) with the sorted shingles of each block, and one row about its texts under a negative r."""
 
-def has_repeats(places: DataFrame) -> bool:
-    """Whether an id occurs in several rows."""
-    return bool(places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count())
-
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ordinal, size = TaskContext.get().partitionId(), 0, 0
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            block = (part << 24) | ordinal
+            n = np.array([len(s) for s in held])
+            ids = np.concatenate(held) >> np.uint64(16)
+            order = np.argsort(ids, kind="stable")
+            ids, docs = ids[order], np.repeat(np.arange(len(held), dtype=np.uint16), n)[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            times, ids = np.diff(np.append(first, len(ids))), ids[first]
+            cut = np.searchsorted((ids >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            low, high = (ids & np.uint64(0xFFFFFFFF)).astype("<u4"), (ids >> np.uint64(32)).astype("<u2")
+            keys = np.array([fingerprint(s) for s in held], np.int64)
+            out = [(-1 - block, block, None, None, None, times.astype("<u4").tobytes(), docs.tobytes(), np.concatenate([keys, n, cut]).astype(np.int64).tobytes())]
+            for r in range(ranges):
+                mine = slice(cut[r], cut[r + 1])
+                if cut[r + 1] > cut[r]:
+                    often = np.flatnonzero(times[mine] > 1)
+                    out.append((r, block, low[mine].tobytes(), high[mine].tobytes(), often.astype("<u4").tobytes(), times[mine][often].astype("<u4").tobytes(), None, None))
+            return _table(_MESSAGE, out).to_batches()[0]
 
-def _texts(rows: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
-    """(doc_id, text) of the texts that are in a pair, each once; repeated: whether rows has an id twice."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    texts = rows.join(few(ids), "doc_id", "left_semi")
-    return materialise(texts.dropDuplicates(["doc_id"]) if repeated else texts, "jaccard-texts")
+        for batch in batches:
+            for found in sets_of(batch.column(0)):
+                if len(found):
+                    held.append(found)
+                    size += len(found)
+                if size >= block_items or len(held) == 1 << 16:
+                    yield flush()
+                    held, size, ordinal = [], 0, ordinal + 1
+        if held:
+            yield flush()
+
+    return rows.select("text").mapInArrow(step, "r long, block long, low binary, high binary, at binary, times binary, docs binary, meta binary")
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """The reply of one range to every block: which of its shingles other texts have, how often, and their rank in the range."""
+    rows = table.to_pylist()
+    if rows[0]["r"] < 0:
+        return _table(_REPLY, [(r["r"], r["block"], None, r["times"], None, r["docs"], r["meta"]) for r in rows])
+    ids = [np.frombuffer(r["high"], "<u2").astype(np.uint64) << np.uint64(32) | np.frombuffer(r["low"], "<u4").astype(np.uint64) for r in rows]
+    times = []
+    for r, found in zip(rows, ids, strict=True):
+        n = np.ones(len(found), np.int64)
+        n[np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["times"], "<u4")
+        times.append(n)
+    _, rank = np.unique(np.concatenate(ids), return_inverse=True)
+    freq = np.bincount(rank, np.concatenate(times)).astype("<u4")[rank]
+    out, low = [], 0
+    for r, found in zip(rows, ids, strict=True):
+        mine = slice(low, low + len(found))
+        shared = np.flatnonzero(freq[mine] > 1)
+        out.append((r["r"], r["block"], shared.astype("<u4").tobytes(), freq[mine][shared].tobytes(), rank[mine][shared].astype("<u4").tobytes(), None, None))
+        low += len(found)
+    return _table(_REPLY, out)
+
+
+def _prefixes(table: pa.Table) -> pa.Table:
+    """(run, key, short) of the shared shingles in the prefix of each text of one block."""
+    rows = table.to_pylist()
+    head = next(r for r in rows if r["meta"] is not None)
+    docs, times = np.frombuffer(head["docs"], np.uint16), np.frombuffer(head["freq"], "<u4").astype(np.int64)
+    ranges = int(max((r["r"] for r in rows if r["meta"] is None), default=0)) + 1
+    meta, texts = np.frombuffer(head["meta"], np.int64), int(docs.max()) + 1
+    keys, n, cut = meta[:texts], meta[texts : 2 * texts], meta[2 * texts :]
+    starts = np.concatenate([[0], np.cumsum(times)])
+    at, freq, run = [], [], []
+    for r in rows:
+        if r["meta"] is None and r["r"] < ranges:
+            at.append(np.frombuffer(r["at"], "<u4").astype(np.int64) + cut[r["r"]])
+            freq.append(np.frombuffer(r["freq"], "<u4"))
+            run.append(np.int64(r["r"] << 32) | np.frombuffer(r["rank"], "<u4").astype(np.int64))
+    at, freq, run = (np.concatenate(v).astype(np.int64) for v in (at, freq, run))
+    copies = times[at]
+    first = np.repeat(starts[at], copies)
+    place = np.arange(len(first)) - np.repeat(np.cumsum(copies) - copies, copies) + first
+    doc, freq, run = docs[place].astype(np.int64), np.repeat(freq, copies), np.repeat(run, copies)
+    order = np.lexsort((run, freq, doc))
+    doc, run = doc[order], run[order]
+    shared = np.bincount(doc, minlength=texts)
+    long, short = prefix_sizes(n)
+    position = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc] + (n - shared)[doc]
+    keep = position < long[doc]
+    doc, run, position = doc[keep], run[keep], position[keep]
+    return pa.table([pa.array(run), pa.array(keys[doc]), pa.array(position < short[doc])], names=["run", "key", "short"])
+
+
+def prefixes(rows: DataFrame, items: int, sizes: Sizes) -> DataFrame:
+    """(run, key, short): which texts share which of their rarest shingles; rows: (text), one for each class."""
+    ranges = max(1, -(-items // sizes.range_items))
+    sent = _announced(rows, ranges, sizes.block_items)
+    replies = sent.groupBy("r").applyInArrow(_counted, "r long, block long, at binary, freq binary, rank binary, docs binary, meta binary")
+    return replies.groupBy("block").applyInArrow(_prefixes, "run long, key long, short boolean")
+
+
+def few(keys: DataFrame, most: int = Sizes().few) -> DataFrame:
+    """A small table of keys with a hint to send it to all executors; a larger one as it is, for a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def _of_runs(entries: DataFrame, runs: DataFrame, sizes: Sizes) -> DataFrame:
+    """Entries joined to their runs; beyond a list that is broadcast, a run is dealt over several tasks."""
+    if runs.count() <= sizes.few:
+        return entries.join(F.broadcast(runs), "run")
+    salted = runs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return entries.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")).join(salted, ["run", "_salt"]).drop("_salt")
+
+
+def _runs(entries: DataFrame, sizes: Sizes) -> DataFrame:
+    """(run, key, members, weight) of runs of several texts with one in its short prefix; equal runs once, with their number as weight."""
+    mark = F.sum(F.expr("xxhash64(key) % 1099511627776"))
+    told = entries.groupBy("run").agg(F.count(F.lit(1)).alias("members"), mark.alias("mark"), F.min("key").alias("head"), F.max("short").alias("live")).filter("members > 1 AND live")
+    kept = told.groupBy("members", "mark", "head").agg(F.min("run").alias("run"), F.count(F.lit(1)).alias("weight")).select("run", "members", "weight")
+    return _of_runs(entries.select("run", "key"), materialise(kept, "jaccard-kept"), sizes)
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose points leave room for enough common shingles."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose points leave room for enough common shingles, and whose whole sets are linked."""
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = ([x.values.to_numpy() for x in batch.column(k)] for k in (3, 5))
             total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
             keep = [7 * overlap_bound(p, q) >= 3 * t for p, q, t in zip(left, right, total.tolist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
-    both = both.filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
-    return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(step, "a long, b long")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [linked(x, y) for x, y in zip(sets_of(batch.column(2)), sets_of(batch.column(3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    def side(name: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of (run, rep, n, point, comp, members) dealt to pairs of blocks of their run: (run, i, j, side, ...)."""
-    m = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("_m", m).withColumn("_at", F.pmod(F.xxhash64("rep"), F.col("_m")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    side = F.when(F.col("_at") <= F.col("_other"), 0).otherwise(1)
-    return rows.select("run", F.least("_at", "_other").alias("i"), F.greatest("_at", "_other").alias("j"), side.alias("side"), "rep", "n", "point", "comp")
+    near = pairs.select("a", "b").join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b")
+    near = near.filter("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a").select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(bounded, "a long, b long")
+    both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(whole, "a long, b long")
 
 
-def _tree_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the R-trees of all runs leave."""
+def _described(rows: DataFrame) -> DataFrame:
+    """(key, n, point, text) of rows of (text)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        for batch in batches:
+            sets = list(sets_of(batch.column(0)))
+            points = [point_of(s) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in points])]).astype(np.int32)
+            flat = np.concatenate(points) if points else np.zeros(0, np.int8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([fingerprint(s) for s in sets], _LONG), pa.array([len(s) for s in sets], _LONG), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), batch.column(0)],
+                names=["key", "n", "point", "text"],
+            )
 
-        def joined(table: pa.Table) -> pa.RecordBatch:
-            left, right = [], []
-            keys = [table.column(k).to_numpy() for k in ("run", "i", "j")]
-            cut = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else []
-            rep, n, comp, side = (table.column(k).to_numpy() for k in ("rep", "n", "comp", "side"))
-            points = [x.values.to_numpy() for x in table.column("point")]
-            for low, high in zip(cut, [*cut[1:], table.num_rows], strict=True):
-                part = slice(low, high)
-                width = min(NODE_GROUPS, min(len(p) for p in points[part]))
-                coarse = np.stack([folded(p, width) for p in points[part]]).astype(np.int16)
-                a, b = tree_join(coarse, n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
-                fine = np.array([7 * overlap_bound(points[low + x], points[low + y]) >= 3 * (n[low + x] + n[low + y]) for x, y in zip(a, b, strict=True)], bool)
-                left.append(rep[part][a[fine]])
-                right.append(rep[part][b[fine]])
-            x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+    return rows.select("text").mapInArrow(step, "key long, n long, point array<tinyint>, text string")
+
+
+def _blocks(rows: DataFrame, tree_rows: int) -> DataFrame:
+    """Rows of (run, key, n, point, comp, runs, members, least) dealt to pairs of blocks of their run: (run, i, j, side, ...).
 
+    The texts of a run's first component have blocks of their own (numbers below zero); two such blocks need not be joined.
+    """
+    m = F.ceil(F.col("members") / tree_rows).cast("int")
+    at = F.pmod(F.xxhash64("key"), F.col("_m")).cast("int")
+    rows = rows.withColumn("_m", m).withColumn("_at", F.when((F.col("_m") > 1) & (F.col("comp") == F.col("least")), -1 - at).otherwise(at))
+    others = F.sequence(F.lit(0), F.col("_m") - 1)
+    own = F.transform(others, lambda k: -1 - k)
+    rows = rows.withColumn("_other", F.explode(F.when(F.col("_at") < 0, others).when(F.col("_m") > 1, F.concat(others, own)).otherwise(others)))
+    side = F.when(F.col("_at") <= F.col("_other"), 0).otherwise(1)
+    return rows.select("run", F.least("_at", "_other").alias("i"), F.greatest("_at", "_other").alias("j"), side.alias("side"), "key", "n", "point", "comp", "runs")
+
+
+def _tree_pairs(rows: DataFrame, tree_rows: int) -> DataFrame:
+    """Pairs (a, b) that the R-trees of all runs leave, each from the first run of `runs` that both texts are in."""
+
+    def joined(table: pa.Table) -> pa.RecordBatch:
+        left, right = [], []
+        keys = [table.column(k).to_numpy() for k in ("run", "i", "j")]
+        cut = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else np.zeros(0, np.int64)
+        key, n, comp, side = (table.column(k).to_numpy() for k in ("key", "n", "comp", "side"))
+        points = [x.values.to_numpy() for x in table.column("point")]
+        runs = [frozenset(x) for x in table.column("runs").to_pylist()]
+        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), table.num_rows], strict=True):
+            part, run = slice(low, high), int(keys[0][low])
+            width = min(NODE_GROUPS, min(len(p) for p in points[part]))
+            coarse = np.stack([folded(p, width) for p in points[part]]).astype(np.int16)
+            a, b = tree_join(coarse, n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
+            first = np.array([min(runs[low + x] & runs[low + y]) == run for x, y in zip(a, b, strict=True)], bool)
+            a, b = a[first], b[first]
+            fine = np.array([7 * overlap_bound(points[low + x], points[low + y]) >= 3 * (n[low + x] + n[low + y]) for x, y in zip(a, b, strict=True)], bool)
+            left.append(key[part][a[fine]])
+            right.append(key[part][b[fine]])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if not table.num_rows:
                 continue
             keys = [table.column(k).to_numpy() for k in ("run", "i", "j")]
             same = np.all([k == k[-1] for k in keys], axis=0)
-            start = int(np.argmax(same[::-1] == False)) if not same.all() else len(same)  # noqa: E712
+            start = int(np.argmax(~same[::-1])) if not same.all() else len(same)
             whole = table.num_rows - start
             if whole:
                 yield joined(table.slice(0, whole))
@@ -325,67 +421,115 @@ def _tree_pairs(rows: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield joined(rest)
 
-    dealt = _blocks(rows).repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "rep")
-    return dealt.mapInArrow(step, "a long, b long").distinct()
+    dealt = _blocks(rows, tree_rows).repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key")
+    return dealt.mapInArrow(step, "a long, b long")
 
 
-def _open(runs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(run, rep, members, comp) of the runs that still span several components."""
+def _open(runs: DataFrame, labels: DataFrame | None, sizes: Sizes) -> DataFrame:
+    """(run, key, members, weight, comp, least) of the runs that still span several components; least: the first of them."""
     if labels is None:
-        return runs.select("run", "rep", "members", F.col("rep").alias("comp"))
-    held = runs.join(labels, F.col("rep") == F.col("node"), "left").select("run", "rep", "members", F.coalesce("label", "rep").alias("comp"))
-    several = held.groupBy("run").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
-    return held.join(several.select("run"), "run", "left_semi")
+        held = runs.withColumn("comp", F.col("key"))
+    else:
+        held = runs.join(labels, F.col("key") == F.col("node"), "left").select(*runs.columns, F.coalesce("label", "key").alias("comp"))
+    several = held.groupBy("run").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("run", "least")
+    return _of_runs(held, materialise(several, "jaccard-open"), sizes)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+def _to_pivots(held: DataFrame, seed: int, sizes: Sizes) -> DataFrame:
+    """(a, b): every text of an open run with the pivot of another component that it meets in most runs."""
+    pivots = held.groupBy("run").agg(F.min(F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), F.col("key").alias("pivot"), F.col("comp").alias("other"))).alias("p")).select("run", "p.pivot", "p.other")
+    met = _of_runs(held, materialise(pivots, "jaccard-pivots"), sizes).filter("comp <> other").groupBy("key", "pivot").agg(F.sum("weight").alias("w"))
+    best = met.groupBy("key").agg(F.max(F.struct("w", "pivot")).alias("best"))
+    return best.select(F.least("key", "best.pivot").alias("a"), F.greatest("key", "best.pivot").alias("b")).distinct()
+
+
+def _same(x: Column, y: Column) -> Column:
+    return x.eqNullSafe(y)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, sizes: Sizes) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, n, key) of every row, and the labels (node, label) of the keys that are linked to another."""
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    every = materialise(_described(rows, _frequent(rows.select("text"))), "jaccard-sets")
-    classes = every.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"))
-    classes = materialise(classes, "jaccard-classes")
-    points = classes.select("rep", "n", "point")
-    key = every.select("doc_id", "n", "f1", "f2")
-    reps = classes.select(F.col("n").alias("_n"), F.col("f1").alias("_1"), F.col("f2").alias("_2"), "rep")
-    placed = materialise(key.join(reps, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")), "left").select("doc_id", "n", "rep"), "jaccard-places")
-
-    repeated = has_repeats(placed)
-    first = every.join(few(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "prefix")
-    if repeated:
-        first = first.dropDuplicates(["doc_id"])
-    # runs of classes: most shingles are in one class only and end here
-    whole = ["count(*) OVER (PARTITION BY run) AS members", "sum(xxhash64(rep) % 1099511627776) OVER (PARTITION BY run) AS mark", "min(rep) OVER (PARTITION BY run) AS head"]
-    shared = first.select(F.explode("prefix").alias("run"), F.col("doc_id").alias("rep"))
-    runs = materialise(shared.selectExpr("run", "rep", *whole).filter("members > 1"), "jaccard-runs")
-    kept = runs.groupBy("members", "mark", "head").agg(F.min("run").alias("run"))
-    runs = materialise(runs.join(kept.select("run"), "run", "left_semi"), "jaccard-runs")
+    every = materialise(_keyed(rows), "jaccard-keys")
+    classes = materialise(every.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
+    items = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not items:
+        return every, None
+    repeated = bool(every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count())
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """One row of text for each class whose smallest id is among ids; of repeated ids also others."""
+        ids = ids.select(F.col("rep").alias("_rep")).distinct()
+        found = rows.join(few(ids, sizes.few), _same(rows["doc_id"], ids["_rep"]), "left_semi")
+        return found.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]) if repeated else found
+
+    entries = prefixes(texts_of(classes), items, sizes)
+    entries = materialise(entries.groupBy("run", "key").agg(F.max("short").alias("short")) if repeated else entries, "jaccard-entries")
+    runs = materialise(_runs(entries, sizes), "jaccard-runs")
+    named = runs.select("key").distinct()
+    texts = _described(texts_of(classes.join(named, "key", "left_semi")))
+    texts = materialise(texts.dropDuplicates(["key"]) if repeated else texts, "jaccard-texts")
 
     links = labels = None
-    for seed, hubs in enumerate(HUBS):
-        held = _open(runs.filter(F.col("members") > LARGE_RUN) if seed else runs, labels)
-        bucket = F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(hubs)).alias("bucket")
-        heads = held.groupBy("run", bucket).agg(F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep", "comp")).alias("head")).drop("bucket")
-        star = held.join(heads, "run").filter("comp <> head.comp").select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
-        star = materialise(_bounded(star, points), "jaccard-pairs")
-        found = _verified(star, _texts(rows, star, repeated))
+    for seed in range(ROUNDS):
+        pairs = materialise(_to_pivots(materialise(_open(runs, labels, sizes), "jaccard-held"), seed, sizes), "jaccard-pairs")
+        found = _verified(pairs, texts)
         links = materialise(found if links is None else links.union(found), "jaccard-links")
         labels = components(links)
+    held = materialise(_open(runs, labels, sizes), "jaccard-held")
+    own = held.groupBy("key").agg(F.collect_list("run").alias("runs"))
+    held = held.join(own.join(texts.select("key", "n", "point"), "key"), "key")
+    pairs = materialise(_tree_pairs(held, sizes.tree_rows), "jaccard-pairs")
+    return every, components(materialise(links.union(_verified(pairs, texts)), "jaccard-links"))
 
-    open_runs = _open(runs, labels).join(points, "rep")
-    left = materialise(_tree_pairs(open_runs), "jaccard-pairs")
-    late = materialise(links.union(_verified(left, _texts(rows, left, repeated))), "jaccard-links")
-    labels = components(late)
-    out = placed.join(labels, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
 
+def _placed(every: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(doc_id, n, key, comp) of every row; rows without shingles have no comp."""
+    own = F.when(F.col("n") > 0, F.col("key"))
+    if labels is None:
+        return every.withColumn("comp", own)
+    return every.join(labels, F.col("key") == F.col("node"), "left").select("doc_id", "n", "key", F.coalesce(F.when(F.col("n") > 0, F.col("label")), own).alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row."""
+    placed = materialise(_placed(*_classes(docs, id_col, text_col, sizes)), "jaccard-places")
+    names = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("size"))
+    large = few(materialise(names.filter("size > 1").select(F.col("comp").alias("_comp"), "name"), "jaccard-names"), sizes.few)
+    out = placed.join(large, F.col("comp") == F.col("_comp"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_comp").isNotNull(), F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
+    """One row, with all columns, of each component: that with the smallest id, of one id that with the smallest key.
+
+    Rows without words all stay.
+    """
+    every, labels = _classes(docs, id_col, text_col, sizes)
+    placed = _placed(every, labels).filter("comp IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = materialise(placed.groupBy("comp").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.key").alias("_key")), "jaccard-first")
+    several = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    ids = few(kept.select("_id").distinct(), sizes.few)
+    wordless = F.coalesce(docs[text_col], F.lit("")).rlike(r"^[ \t-\r]*$")
+    full = docs.filter(~wordless).join(ids, _same(docs[id_col].cast("long"), F.col("_id")), "left_semi")
+    if several.limit(1).count():
+        full = _one_of_each(full, kept, id_col, text_col)
+    return docs.filter(wordless).unionByName(full)
+
+
+def _one_of_each(rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of rows with repeated ids, one for each (id, key) that is kept."""
+    names, at = rows.columns, rows.columns.index(text_col)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("_own_key", pa.array([fingerprint(s) for s in sets_of(batch.column(at))], _LONG))
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, with all columns, whose id is the smallest of its component; repeated ids stay once."""
-    places = materialise(jaccard_components(docs), "jaccard-result")
-    kept = materialise(places.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "jaccard-kept")
-    out = docs.join(few(kept), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if has_repeats(places) else out
+    schema = StructType([*rows.schema.fields, StructField("_own_key", LongType())])
+    keyed = rows.mapInArrow(step, schema).dropDuplicates([id_col, "_own_key"])
+    return keyed.join(kept, _same(keyed[id_col].cast("long"), kept["_id"]) & (keyed["_own_key"] == kept["_key"]), "left_semi").select(*names)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
