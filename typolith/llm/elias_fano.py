@@ -51,8 +51,14 @@ class EliasFano:
             value |= wide.view(np.uint64).reshape(-1)
         return value
 
-    def all(self) -> np.ndarray:
-        return np.concatenate([self.decode(k) for k in range(len(self.firsts))]) if self.n else np.zeros(0, np.uint64)
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at sorted places; only the stretches that hold them are decoded."""
+        out = np.zeros(len(places), np.uint64)
+        cuts = np.searchsorted(places, np.arange(len(self.firsts) + 1) * _STRIDE)
+        for chunk in np.flatnonzero(np.diff(cuts)):
+            mine = slice(cuts[chunk], cuts[chunk + 1])
+            out[mine] = self.decode(int(chunk))[places[mine] - chunk * _STRIDE]
+        return out
 
     def successor(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted queries: the position of the first element that is not smaller, and whether it is equal."""
@@ -73,32 +79,52 @@ class EliasFano:
 class Trie:
     """Two levels, the predicted word above its contexts.
 
-    Level 1 are words with exact counts; a monotone pointer gives each word's range in level 2. Level 2 are contexts,
-    kept as word * 2^32 + context so that the ranges follow one another, with 8-bit codes of a quantised value.
+    Level 1 are words; a monotone pointer gives the place in level 2 where each word's contexts end. Level 2 are contexts as numbers of a
+    vocabulary of their own, made monotone by adding the last value of the range before, with 16-bit codes of a quantised value. A search is
+    relative to the word's range: the successor of (last value before the range) + 1 + number, which must lie within the range.
     """
 
+    LEVELS = 0xFFFE
+
     @staticmethod
-    def write(folder: str, words: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
-        """words: sorted hashes; keys: sorted word rank * 2^32 + context; values: one for each key."""
-        EliasFano.write(os.path.join(folder, "words"), words)
-        ends = np.searchsorted(keys, np.arange(1, len(words) + 1, dtype=np.uint64) << np.uint64(32))
-        EliasFano.write(os.path.join(folder, "pointers"), ends.astype(np.uint64))
-        EliasFano.write(os.path.join(folder, "contexts"), keys)
+    def write(folder: str, n_words: int, words: np.ndarray, contexts: np.ndarray, values: np.ndarray) -> None:
+        """words (ranks below n_words) and contexts of each pair, sorted; values: one for each pair."""
+        known = np.unique(contexts)
+        ends = np.searchsorted(words, np.arange(n_words), "right")
+        steps = np.searchsorted(known, contexts).astype(np.int64)
+        first = np.ones(len(words), bool)
+        first[1:] = words[1:] != words[:-1]
+        within = np.diff(steps, prepend=0)
+        within[first] = steps[first] + 1
+        EliasFano.write(os.path.join(folder, "vocabulary"), known)
+        EliasFano.write(os.path.join(folder, "pointers"), ends)
+        EliasFano.write(os.path.join(folder, "contexts"), np.cumsum(within))
         low, high = (float(values.min()), float(values.max())) if len(values) else (0.0, 0.0)
-        step = (high - low) / 255 or 1.0
+        step = (high - low) / Trie.LEVELS or 1.0
         np.array([low, step]).tofile(os.path.join(folder, "scale"))
-        np.round((values - low) / step).astype(np.uint8).tofile(os.path.join(folder, "codes"))
+        (np.round((values - low) / step) + 1).astype("<u2").tofile(os.path.join(folder, "codes"))
 
     def __init__(self, folder: str) -> None:
-        self.words, self.pointers, self.contexts = (EliasFano(os.path.join(folder, k)) for k in ("words", "pointers", "contexts"))
+        self.vocabulary, self.pointers, self.contexts = (EliasFano(os.path.join(folder, k)) for k in ("vocabulary", "pointers", "contexts"))
         self.low, self.step = np.fromfile(os.path.join(folder, "scale"))
-        self.codes = np.memmap(os.path.join(folder, "codes"), np.uint8, "r") if self.contexts.n else np.zeros(0, np.uint8)
-        self.ends = self.pointers.all().astype(np.int64)
-
-    def values(self, words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, found) for (word rank, context) pairs in sorted order; a search stays within the word's range."""
-        position, equal = self.contexts.successor((words.astype(np.uint64) << np.uint64(32)) | contexts.astype(np.uint64))
-        within = equal & (position < self.ends[words]) if len(words) else equal
-        value = np.zeros(len(words))
-        value[within] = self.low + self.step * self.codes[position[within]]
-        return value, within
+        self.stored = np.memmap(os.path.join(folder, "codes"), "<u2", "r") if self.contexts.n else np.zeros(0, "<u2")
+
+    def codes(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Codes of (word rank, context) pairs sorted by both; 0 for pairs that are not there, else 1 + (value - low) / step."""
+        out = np.zeros(len(words), "<u2")
+        if not self.contexts.n or not len(words):
+            return out
+        order = np.argsort(contexts, kind="stable")
+        number, known = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        number[order], known[order] = self.vocabulary.successor(contexts[order].astype(np.uint64))
+        ranks, of = np.unique(words, return_inverse=True)
+        ends = self.pointers.at(ranks).astype(np.int64)
+        begins = np.zeros(len(ranks), np.int64)
+        begins[ranks > 0] = self.pointers.at(ranks[ranks > 0] - 1).astype(np.int64)
+        before = np.zeros(len(ranks), np.uint64)
+        before[begins > 0] = self.contexts.at(begins[begins > 0] - 1)
+        some = known & (ends > begins)[of]
+        position, equal = self.contexts.successor(before[of[some]] + np.uint64(1) + number[some].astype(np.uint64))
+        found = equal & (position < ends[of[some]])
+        out[np.flatnonzero(some)[found]] = self.stored[position[found]]
+        return out
