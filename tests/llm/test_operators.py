@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import brute_jaccard
@@ -125,19 +126,44 @@ def test_elias_fano(tmp_path):
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 50_000).astype(np.uint64))
     elias_fano.EliasFano.write(str(tmp_path / "x"), values)
     seq = elias_fano.EliasFano(str(tmp_path / "x"))
-    assert (seq.all() == values).all()
+    places = np.unique(np.random.default_rng(2).integers(0, 50_000, 900))
+    assert (seq.at(np.arange(50_000)) == values).all() and (seq.at(places) == values[places]).all()
     queries = np.sort(np.concatenate([values[::7], values[::11] + np.uint64(1)]))
     position, equal = seq.successor(queries)
     assert (position == np.searchsorted(values, queries)).all() and (equal == np.isin(queries, values)).all()
 
 
-def test_lm_scoring(docs):
-    out = {r.doc_id: r for r in lm_scoring.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()}
-    for i, want in brute_lm.scores(list(enumerate(TEXTS)), lm_scoring.MASS).items():
+def test_trie(tmp_path):
+    rng = np.random.default_rng(4)
+    pairs = np.unique(rng.integers(0, 40, (500, 2)), axis=0)
+    values = rng.normal(size=len(pairs))
+    elias_fano.Trie.write(str(tmp_path), 45, pairs[:, 0], pairs[:, 1].astype(np.uint64) * np.uint64(99_999_999), values)
+    trie = elias_fano.Trie(str(tmp_path))
+    asks = np.array([(w, c) for w in range(45) for c in range(45)])
+    codes = trie.codes(asks[:, 0], asks[:, 1].astype(np.uint64) * np.uint64(99_999_999)).astype(float)
+    want = dict(zip(map(tuple, pairs.tolist()), values, strict=True))
+    for ask, code in zip(map(tuple, asks.tolist()), codes, strict=True):
+        assert (code > 0) == (ask in want)
+        assert ask not in want or trie.low + trie.step * (code - 1) == pytest.approx(want[ask], abs=trie.step)
+
+
+@pytest.mark.parametrize("sizes", [lm_scoring.Sizes(), lm_scoring.Sizes(400, 60)])
+def test_lm_scoring(spark, sizes):
+    rng = random.Random(6)
+    texts = [*TEXTS, *(" ".join(rng.choice(["the", "the", "The", "of", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(40))) for _ in range(60))]
+    table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, block int")
+    out = {r.doc_id: r for r in lm_scoring.score_texts(table, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, sizes=sizes).collect()}
+    for i, want in brute_lm.scores(list(enumerate(texts)), lm_scoring.MASS).items():
         r = out[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4]
-        assert r.base_score == pytest.approx(want[4], rel=1e-9) and r.score == pytest.approx(want[5], rel=0.02)
+        assert r.base_score == pytest.approx(want[4], rel=1e-9) and r.score == pytest.approx(want[5], abs=1e-4 * want[1])
+
+
+def test_lm_scoring_of_odd_rows(spark, docs):
     assert lm_scoring.score_texts(_empty(docs), F.lit(False)).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (1, None), (1, "a b")], "doc_id long, text string")
+    out = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in lm_scoring.score_texts(rows, F.lit(True)).collect()), key=str)
+    assert out == sorted([(None, 3, 0, 0), (1, 1, 0, 0), (1, 3, 0, 0)], key=str)
 
 
 def test_chat_folds_events(spark):
@@ -156,6 +182,13 @@ def test_pii(docs, spark):
     assert pii.sanitise(table.filter("doc_id = 5")).first().text == "\U0001f600 [EMAIL]"
 
 
+def test_pii_of_many_matches(spark):
+    text = " ".join(f"10.{i % 256}.{i // 256}.7 word{i % 9}" for i in range(60_000))
+    began = time.time()
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s.kind, s.start, s.end) for s in row.base] == brute_spans.pii(text) and time.time() - began < 60
+
+
 def test_pii_disclosing_term(spark):
     rows = [(i, f"{w} zanzibar writes to secret@site.org {w}") for i, w in enumerate(["aaaa", "bbbb", "cccc", "dddd"])] + [(i, "plain words only") for i in range(10, 200)]
     found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(added) > 0").collect()
@@ -189,6 +222,43 @@ def test_jaccard_join(spark, docs):
     assert got == brute_jaccard.components(rows)
 
 
+def _near_groups():
+    """Groups of near copies on both sides of the threshold, a passage that many share, exact copies and short texts."""
+    rng = np.random.default_rng(3)
+    rows, shared = [], " ".join(f"p{i}" for i in range(30))
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for c in range(10):
+            words = list(base)
+            for at in rng.choice(120, int(rng.integers(0, 7)), replace=False):
+                words[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(words) + (" " + shared if c % 3 == 0 else "")))
+    rows += [(len(rows) + i, f"{shared} only {i}") for i in range(40)]
+    return rows + [(len(rows) + i, rows[7][1]) for i in range(20)] + [(1000 + i, t) for i, t in enumerate(TEXTS)]
+
+
+@pytest.mark.parametrize("sizes", [jaccard_join.Sizes(), jaccard_join.Sizes(700, 300, 4, 0)])
+def test_jaccard_join_in_many_units(spark, sizes):
+    rows = _near_groups()
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table, sizes=sizes).collect()}
+    want = brute_jaccard.components(rows)
+    assert got == want
+    assert sorted(r.doc_id for r in jaccard_join.first_of_each(table, sizes=sizes).collect()) == sorted(d for d, (n, c) in want.items() if d == c)
+
+
+def test_jaccard_join_of_odd_rows(spark):
+    other, words = "these are quite other words than those", "one two three four five six seven eight"
+    rows = [(1, words, "k", 5), (1, other, "r", 1), (2, words, "k", 2), (None, other + " x", "k", 3), (None, None, "k", 4), (3, "", "k", 6), (2, words, "k", 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key string, n long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(table).collect()), key=str)
+    assert got == sorted([(1, 4, 1), (1, 3, 1), (2, 4, 1), (None, 4, 1), (None, 0, None), (3, 0, 3), (2, 4, 1)], key=str)
+    kept = jaccard_join.first_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, words), (1, other), (None, None), (3, "")], key=str)
+    assert jaccard_join.jaccard_components(table.limit(0)).count() == 0 and jaccard_join.first_of_each(table.limit(0)).count() == 0
+
+
 def test_jaccard_tree_keeps_all_links():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(60)]

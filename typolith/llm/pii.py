@@ -9,7 +9,7 @@
    surely, generalised otherwise.
 
 The pattern of each kind matches the same leftmost, non-overlapping strings as its plain form; possessive
-quantifiers and lookbehinds only spare backtracking, so long runs take linear time.
+quantifiers and lookbehinds only spare backtracking, so long runs take linear time; places of n matches take n * sqrt(n) small steps.
 
 Edge cases: a null text is empty; empty texts have no spans; equal spans of repeated rows count once per row; rows with one
 id and different texts are kept apart by a hash of the text; an empty table gives no rows; other columns are ignored.
@@ -38,19 +38,41 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 _TERMS = "array<struct<start:int,end:int,sure:boolean>>"
 
 
+def running(lengths: Column) -> Column:
+    """Running sums of an array of integers.
+
+    Appending to an array copies it, so sums are built in about sqrt(n) blocks of sqrt(n) values.
+    """
+
+    def sums(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))
+
+    def whole(values: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(values))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(values), block)
+        blocks = F.transform(firsts, lambda i: sums(F.slice(values, i, block)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+        moved = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(x["out"], lambda v: v + acc["at"]))).alias("out"))
+        return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.aggregate(blocks, start, moved, lambda acc: acc["out"])))
+
+    return F.transform(F.array(lengths), whole)[0]
+
+
+def _parts(text: Column, pattern: str) -> Column:
+    """Every match with what stands between it and the match before: (gap, value)."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(F.array(hits), lambda h: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(h)), h, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))))[0]
+
+
 def located(text: Column, pattern: str) -> Column:
     """(start, end, value) of all matches in code points, left to right."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("value")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def placed(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: F.length(x["gap"]) + F.length(x["value"])))
+        return F.zip_with(parts, ends, lambda x, e: F.struct((e - F.length(x["value"])).alias("start"), e.alias("end"), x["value"].alias("value")))
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+    return F.transform(F.array(_parts(text, pattern)), placed)[0]
 
 
 def _digits(value: Column) -> Column:
@@ -88,43 +110,22 @@ def direct_spans(text: Column) -> Column:
     return F.concat(*[_spans_of(text, *kind) for kind in KINDS])
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with a zero for every character of its spans, so that places in it stay."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(acc: Column, s: Column) -> Column:
-        low, high = F.greatest(s["start"], acc["at"]), F.greatest(s["end"], acc["at"])
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, low - acc["at"]), F.repeat(F.lit("0"), high - low)).alias("out"))
-
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    whole = F.aggregate(ordered, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(1 << 30))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+def masked(text: Column) -> Column:
+    """The text with a zero for every character of an email, so that places in it stay. Other direct identifiers hold no letter."""
+    _, pattern, needs = KINDS[0]
+    kept = F.array_join(F.transform(_parts(text, pattern), lambda x: F.concat(x["gap"], F.repeat(F.lit("0"), F.length(x["value"])))), "")
+    return F.when(F.contains(text, F.lit(needs)), F.concat(kept, F.element_at(F.split(text, pattern, -1), -1))).otherwise(text)
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, spans, terms): direct spans, and the distinct lower-case words outside them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = lambda spans: F.array_distinct(F.regexp_extract_all(masked(F.col("text"), spans), F.lit(WORD), F.lit(0)))
-    # the lambda's variable and the generator keep the spans from being found once for each use
-    both = F.transform(F.array(direct_spans(F.col("text"))), lambda s: F.struct(s.alias("spans"), F.array_distinct(F.transform(words(s), F.lower)).alias("terms")))
+    words = F.array_distinct(F.regexp_extract_all(masked(F.col("text")), F.lit(WORD), F.lit(0)))
+    # the lambda's variable and the generator keep the words from being found once for each use
+    both = F.transform(F.array(words), lambda w: F.struct(direct_spans(F.col("text")).alias("spans"), F.array_distinct(F.transform(w, F.lower)).alias("terms")))
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(both))
 
 
-def places_of(rest: Column, guilty: Column) -> Column:
-    """(start, end, sure) of every word of a masked text that is a key of guilty, a map from term to sure."""
-    hits = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
-    gaps = F.slice(F.split(rest, WORD, -1), F.lit(1), F.size(hits))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), F.element_at(guilty, F.lower(h)).alias("sure")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_TERMS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        found = F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["sure"].alias("sure")))
-        return F.struct((start + x["size"]).alias("at"), F.when(x["sure"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], found)).alias("out"))
-
-    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
-
-
 def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
 
@@ -135,31 +136,33 @@ def _thinned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def disclosing_terms(base: DataFrame) -> DataFrame:
-    """(kind, value, term, prediction, bits): words over the disclosure thresholds for an entity, counted over whole documents."""
+    """(entity, term, prediction, bits): words over the disclosure thresholds for an entity, counted over whole documents."""
     n_docs = max(base.count(), 1)
-    named = base.filter(F.size("spans") > 0).select("terms", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e"))
-    named = named.select("e.kind", "e.value", "terms")
-    counts = named.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("ce"))
-    both = named.select("kind", "value", F.explode("terms").alias("term")).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("cte"))
+    # as strings, which Spark tells apart by hash; structs it compares one with another
+    entities = F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    named = base.filter(F.size("spans") > 0).select("terms", F.explode(entities).alias("entity"))
+    counts = named.groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
+    both = named.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cte"))
     frequencies = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     likely = both.join(frequencies, "term").withColumn("prediction", F.col("cte") / F.col("df")).filter(F.col("prediction") >= MIN_PREDICTION)
     bits = F.log2(F.col("cte") * F.lit(float(n_docs)) / (F.col("df") * F.col("ce")))
-    return likely.join(counts, ["kind", "value"]).select("kind", "value", "term", "prediction", bits.alias("bits")).filter(F.col("bits") >= MIN_BITS)
+    return likely.join(counts, "entity").select("entity", "term", "prediction", bits.alias("bits")).filter(F.col("bits") >= MIN_BITS)
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, added) for every row: direct spans, and every word that discloses an entity of any document."""
     base = materialise(identified(docs), "pii")
     guilty = materialise(disclosing_terms(base).groupBy("term").agg((F.max("prediction") >= SURE).alias("sure")), "pii-guilty")
-    has = _thinned(base.select("doc_id", "text_hash", F.explode("terms").alias("term")), guilty, "term").join(guilty, "term")
-    has = materialise(has.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "sure"))).alias("guilty")), "pii-has")
-    has = has.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "guilty")
+    sent = F.broadcast(guilty) if guilty.count() <= BUCKETS else guilty
+    named = _thinned(base.select("doc_id", "text_hash", F.explode("terms").alias("term")), guilty, "term").join(sent, "term", "left_semi")
+    named = materialise(named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "pii-has")
     same = lambda x: x["doc_id"].eqNullSafe(F.col("_id")) & (x["text_hash"] == F.col("_hash"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = _thinned(texts, has.select(F.col("_hash").alias("text_hash")), "text_hash")
-    texts = texts.join(has, same(texts)).dropDuplicates(["_id", "_hash"])
-    rest = F.transform(F.array(direct_spans(F.col("text"))), lambda s: masked(F.col("text"), s))
-    added = texts.select("_id", "_hash", "guilty", F.explode(rest).alias("rest")).select("_id", "_hash", places_of(F.col("rest"), F.col("guilty")).alias("added"))
+    texts = _thinned(texts, named.select(F.col("_hash").alias("text_hash")), "text_hash")
+    texts = texts.join(named, same(texts)).dropDuplicates(["_id", "_hash"])
+    words = texts.select("_id", "_hash", F.explode(F.transform(F.array(masked(F.col("text"))), lambda rest: located(rest, WORD))).alias("found"))
+    words = words.select("_id", "_hash", F.inline("found")).withColumn("term", F.lower("value")).join(sent, "term")
+    added = words.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "sure"))).alias("added"))
     out = base.select("doc_id", "text_hash", "spans").join(added, same(base), "left")
     return out.select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce("added", F.array().cast(_TERMS)).alias("added"))
 
@@ -173,14 +176,19 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
         F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["sure"], "").otherwise("[TERM]").alias("put"))),
     )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def put(acc: Column, m: Column) -> Column:
-        fresh = m["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), m["put"])
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    body = F.aggregate(F.sort_array(marks), start, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
+    # marks that begin inside the one before are covered by it; what is left is cut at the marks, which are in order
+    def open_marks(ordered: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,put:string>>").alias("out"))
+        kept = lambda acc, m: F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.when(m["start"] >= acc["at"], F.concat(acc["out"], F.array(m))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(ordered, start, kept, lambda acc: acc["out"])
+
+    def written(kept: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(kept, i - 1)["end"])
+        pieces = F.transform(kept, lambda m, i: F.concat(F.substring(F.col("text"), before(i) + 1, m["start"] - before(i)), m["put"]))
+        last = F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last + 1, F.lit(1 << 30)))
+
+    body = F.transform(F.array(open_marks(F.sort_array(marks))), written)[0]
     return joined.select("doc_id", body.alias("text"))
 
 
