@@ -1,23 +1,27 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
-Queries and candidates are dealt into blocks, and every pair of blocks is one unit of work. Both blocks are indexed by a cover tree: a
-node has a centre, its own first child keeps that centre, further children are chosen farthest-first, and each node knows the
-radius that covers its points. For a query node Q and a candidate node R no pair scores more than
+Queries and candidates are dealt into blocks, and every pair of blocks is one unit of work. Both blocks are indexed by a cover tree. For a
+query node Q and a candidate node R no pair scores more than
     q.r + |q| radius(R) + |r| radius(Q) + radius(Q) radius(R).
-A node pair is pruned when this is below the worst k-th score that any query of the group has so far. The results of the blocks
-are merged per query.
+First every group of queries scores a small node that its centre leads to. Then both trees are descended together, and a node pair is pruned
+when its bound is below the worst k-th score that any query of the group has so far. The results of the blocks are merged per query. How much is
+pruned depends on the vectors: in clusters most pairs are, in noise of many dimensions few.
 
 Vectors are turned into integers floor(scale * x), so scores are exact: sums stay under 2^53 in double precision, or else Python integers
 are used.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; equal scores go to the smaller id; a query with fewer than k candidates gets all; rows with the query's own id are no
-candidates of it; repeated rows are candidates each, and repeated query rows count once; scores beyond 64 bits are cut to that range;
+candidates of it; repeated rows are candidates each, and repeated query rows count once (of rows with one id and different vectors, the
+smallest vector asks); scores beyond 64 bits are cut to that range;
 empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,43 +29,78 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-LEAF, FAN, BATCH = 64, 8, 2048
+LEAF, ASK_LEAF, MOST, FEW, BATCH, BASE = 64, 8, 64, 8, 1024, 1.5
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 4_096
 _NO_ID = np.iinfo(np.int64).max
 
 
 class Cover:
-    """A node of a cover tree over rows of points."""
+    """A node of a cover tree over rows of points.
+
+    A node of level l covers its points within BASE ** l. Its children, of the largest lower level that tells points apart, are centres taken
+    farthest-first until all points are within BASE ** of that level of one; so centres are farther than that from each other, and the first child
+    keeps the centre. Where that takes more than MOST centres there are no clusters of that level, and the first FEW share the points, with the radius that covers them.
+    """
 
     __slots__ = ("rows", "centre", "norm", "radius", "parts")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: int) -> None:
+    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: int, leaf: int) -> None:
         self.rows, self.centre = rows, points[centre]
         self.norm = float(np.sqrt((self.centre**2).sum()))
         away = np.sqrt(((points[rows] - self.centre) ** 2).sum(axis=1))
         self.radius = float(away.max())
         self.parts: list[Cover] = []
-        if len(rows) > LEAF and self.radius > 0:
+        if len(rows) > leaf and self.radius > 0:
+            below = BASE ** (math.ceil(math.log(self.radius, BASE)) - 1)
             heads, owner, near = [centre], np.zeros(len(rows), np.int64), away
-            while len(heads) < FAN and near.max() > self.radius / 4:
+            while len(heads) < MOST and near.max() > below:
                 head = int(rows[np.argmax(near)])
                 far = np.sqrt(((points[rows] - points[head]) ** 2).sum(axis=1))
                 owner[far < near] = len(heads)
                 near = np.minimum(near, far)
                 heads.append(head)
+            if near.max() > below:
+                heads = heads[:FEW]
+                gaps = np.stack([((points[rows] - points[h]) ** 2).sum(axis=1) for h in heads])
+                owner = gaps.argmin(axis=0)
             if len(heads) > 1:
-                self.parts = [Cover(points, rows[owner == k], h) for k, h in enumerate(heads) if (owner == k).any()]
+                self.parts = [Cover(points, rows[owner == k], h, leaf) for k, h in enumerate(heads) if (owner == k).any()]
+
+
+    def leaves(self) -> Iterator[Cover]:
+        if not self.parts:
+            yield self
+        for part in self.parts:
+            yield from part.leaves()
 
 
 class Search:
-    """The k best candidates of each query of a block."""
+    """The k best candidates of each query of a block; pruned counts node pairs that were left out, opened those that were not."""
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> None:
         self.queries, self.query_ids, self.points, self.ids, self.k = queries, query_ids, points, ids, k
         self.best = np.full((len(queries), k), -np.inf)
         self.best_ids = np.full((len(queries), k), _NO_ID)
+        self.pruned = self.opened = self.scored = 0
+        self.seen: dict[int, set[int]] = {}
         if len(queries) and len(points):
-            self._visit(Cover(queries, np.arange(len(queries)), 0), [Cover(points, np.arange(len(points)), 0)])
+            asks, tree = Cover(queries, np.arange(len(queries)), 0, ASK_LEAF), Cover(points, np.arange(len(points)), 0, LEAF)
+            self._seed(asks, tree)
+            self._visit(asks, [tree])
+
+    def _seed(self, group: Cover, tree: Cover) -> None:
+        """Scores for every group of queries the smallest node of 2 k candidates that its centre leads to, so that worst k-th scores prune from the root on."""
+        if group.parts:
+            for part in group.parts:
+                self._seed(part, tree)
+            return
+        while tree.parts:
+            part = tree.parts[int(np.argmax(np.stack([n.centre for n in tree.parts]) @ group.centre))]
+            if len(part.rows) < 2 * self.k:
+                break
+            tree = part
+        self.seen[id(group)] = {id(leaf) for leaf in tree.leaves()}
+        self._score(group.rows, tree.rows)
 
     def _bounds(self, group: Cover, nodes: list[Cover]) -> np.ndarray:
         centres = np.stack([n.centre for n in nodes])
@@ -71,19 +110,23 @@ class Search:
 
     def _visit(self, group: Cover, nodes: list[Cover]) -> None:
         """Descends in both trees at once; nodes: what of the candidates' tree is left for this group."""
-        worst = self.best[group.rows, -1].min()
-        kept = [n for n, b in zip(nodes, self._bounds(group, nodes), strict=True) if b >= worst]
-        if group.parts:
-            down = [p for n in kept for p in (n.parts or [n])]
-            for part in group.parts:
-                if down:
+        while nodes:
+            worst, bounds = self.best[group.rows, -1].min(), self._bounds(group, nodes)
+            kept = [n for n, b in zip(nodes, bounds, strict=True) if b >= worst]
+            self.pruned, self.opened = self.pruned + len(nodes) - len(kept), self.opened + len(kept)
+            if group.parts:
+                down = [p for n in kept for p in (n.parts if n.parts and n.radius >= group.radius else [n])]
+                for part in group.parts:
                     self._visit(part, down)
+                return
+            if not any(n.parts for n in kept):
+                break
+            nodes = [p for n in kept for p in (n.parts or [n])]
+        else:
             return
-        while any(n.parts for n in kept):
-            kept = [p for n in kept for p in (n.parts or [n])]
-        if not kept:
-            return
-        bounds = self._bounds(group, kept)
+        seen = self.seen.get(id(group), set())
+        kept = [n for n in kept if id(n) not in seen]
+        bounds = self._bounds(group, kept) if kept else np.zeros(0)
         order, at = np.argsort(-bounds, kind="stable"), 0
         while at < len(order) and bounds[order[at]] >= self.best[group.rows, -1].min():
             rows, size = [], 0
@@ -94,6 +137,7 @@ class Search:
 
     def _score(self, asks: np.ndarray, rows: np.ndarray) -> None:
         """Holds candidate rows against the queries of a leaf and keeps the k best of each."""
+        self.scored += len(asks) * len(rows)
         scores, ids, k = self.queries[asks] @ self.points[rows].T, self.ids[rows], self.k
         scores[self.query_ids[asks][:, None] == ids[None, :]] = -np.inf
         least = self.best[asks, -1]
@@ -137,8 +181,9 @@ def _block(table: pa.Table, k: int) -> pa.Table:
     width = max(len(v) for v in table.column("x").combine_chunks())
     asks = table.column("ask").to_numpy(zero_copy_only=False)
     (queries, query_ids), (points, ids) = matrix(table.filter(pa.array(asks))), matrix(table.filter(pa.array(~asks)))
-    query_ids, first = np.unique(query_ids, return_index=True)
-    queries = queries[first]
+    order = np.lexsort([*queries.T, query_ids])
+    first = np.concatenate([[True], query_ids[order][1:] != query_ids[order][:-1]]) if len(order) else order
+    query_ids, queries = query_ids[order][first], queries[order][first]
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * width
     if largest < 2.0**52 and np.abs(points).max(initial=0) < 2**25 and np.abs(queries).max(initial=0) < 2**25:
         found = Search(queries.astype(float), query_ids, points.astype(float), ids, k)
