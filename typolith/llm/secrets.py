@@ -3,10 +3,12 @@
 Base patterns give assignments, access key ids and hex runs. Beyond them, base64 and hex candidates are decoded and
 reported only when their bytes have the structure of a key or a signed token:
 
-- `pem`: an armoured private key whose body is DER or an OpenSSH container;
+- `pem`: an armoured private key whose body, without headers and escaped line ends, is DER or an OpenSSH container;
 - `jwt`: three dotted parts whose first is a JSON object with a string `alg`, and whose second is a JSON object;
 - `der`: nested ASN.1 lengths that tile the whole value, with a key's integers or an object id beside a string;
-- `ssh`: length-prefixed fields that tile the value, the first naming an SSH key type.
+- `ssh`: length-prefixed fields that tile the value, the first naming an SSH key type, or an OpenSSH container of such parts.
+
+Keys in base64 are also found after a separator (`/`, `_`, `-`) and over lines of equal width. A text takes linear time.
 
 Positions are code points. Matching is leftmost and non-overlapping by kind; whole texts are scanned.
 
@@ -33,9 +35,10 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[A-Za-z0-9_-]{7,})\.(e[A-Za-z0-9_-]{3,})\.([A-Za-z0-9_-]*)")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)PRIVATE KEY-----")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)+")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_WRAPPED = re.compile(r"(?:^[ \t>]*[A-Za-z0-9+/]{48,76}[ \t]*\r?\n)+[ \t>]*[A-Za-z0-9+/]+={0,2}", re.MULTILINE)
 _HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
@@ -96,18 +99,29 @@ def is_der_key(data: bytes) -> bool:
     return large >= 2 or named and held or held and any(t == 0x02 and n == 1 for t, n in tags)
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that tile the value, the first an SSH key type; or an OpenSSH private container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def _fields(data: bytes, at: int, many: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from a position, to the end or so many of them, and where they end."""
+    out = []
+    while len(out) < many if many is not None else at < len(data):
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + min(size, 40)])
+            return None
+        out.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(sk-)?(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)", fields[0]) is not None
+    return out, at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Length-prefixed fields that tile the value, the first an SSH key type; or an OpenSSH container whose parts tile it."""
+    if data.startswith(b"openssh-key-v1\0"):
+        head = _fields(data, 15, 3)  # cipher, key derivation, its options
+        if head is None or not all(re.fullmatch(rb"[a-z0-9@.-]+", f) for f in head[0][:2]):
+            return False
+        keys = int.from_bytes(data[head[1] : head[1] + 4], "big")
+        rest = _fields(data, head[1] + 4, keys + 1) if 1 <= keys <= 64 else None
+        return rest is not None and rest[1] == len(data) and all(is_ssh_key(f) for f in rest[0][:-1]) and len(rest[0][-1]) >= 8
+    found = _fields(data, 0)
+    return found is not None and len(found[0]) >= 2 and re.match(rb"(sk-)?(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)", found[0][0]) is not None
 
 
 def _json(text: str) -> object:
@@ -118,13 +132,53 @@ def _json(text: str) -> object:
         return None
 
 
-def _is_jwt(match: re.Match) -> bool:
-    head = _json(match[1])
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(match[2]), dict) and (bool(match[3]) or head["alg"].lower() == "none")
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Signed tokens: three dotted parts, the first two JSON objects, the first with a string `alg`."""
+    for m in _DOTTED.finditer(text):
+        parts, at, free = m[0].split("."), m.start(), m.start()
+        for k, part in enumerate(parts[:-2]):
+            if at >= free and part.startswith(("ey", "ew")) and parts[k + 1][:1] == "e":
+                head = _json(part)
+                if isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(_json(parts[k + 1]), dict) and (parts[k + 2] or head["alg"].lower() == "none"):
+                    free = at + len(part) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+                    yield at, free
+            at += len(part) + 1
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """Each BEGIN mark that the next mark ends, with a key between them; headers and escaped line ends are left out."""
+    marks = list(_ARMOUR.finditer(text))
+    for a, b in zip(marks, marks[1:], strict=False):
+        if a[1] == "BEGIN" and b[1] == "END" and a[2] == b[2]:
+            lines = re.split(r"(?:\\[nr]|[\r\n])+", text[a.end() : b.start()])
+            data = _decode(re.sub(r"[\s\"',\\]+", "", "".join(line for line in lines if ":" not in line)))
+            if data and (is_der_key(data) or is_ssh_key(data) or "ENCRYPTED" in text[a.end() : a.end() + 40] and len(data) >= 64):
+                yield a.start(), b.end()
+
+
+def _key_in(run: str, at: int) -> tuple[str, int] | None:
+    """(kind, end) of an encoded key that begins at a place of a run and ends with it or before a separator."""
+    first = _decode(run[at : at + 8]) or b""
+    if first[:1] == b"\x30":
+        top = _tlv(first + bytes(1 << 16), 0, (1 << 16) + 6) if len(first) == 6 else None
+        end = at - (-4 * top[2] // 3) if top else len(run) + 1
+        if end > len(run.rstrip("=")) or end < len(run.rstrip("=")) and run[end] not in "/_-":
+            return None
+        data = _decode(run[at:end])
+        return ("der", end if end < len(run.rstrip("=")) else len(run)) if data and is_der_key(data) else None
+    if first[:3] == b"\0\0\0" or first.startswith(b"opens"):
+        data = _decode(run[at:])
+        return ("ssh", len(run)) if data and is_ssh_key(data) else None
+    return None
 
 
-def _first_bytes(text: str) -> bytes:
-    return _decode(text[:8]) or b""
+def _keys(run: str) -> Iterator[tuple[str, int, int]]:
+    """Encoded keys in a run of base64: at its start, or after a separator where an encoded key can begin."""
+    free = 0
+    for m in re.finditer(r"(?:^|(?<=[/_-]))(?=M[A-Za-z0-9+/_-]{39}|AAAA|b3BlbnNza)", run):
+        if m.start() >= free and (found := _key_in(run, m.start())):
+            free = found[1]
+            yield found[0], m.start(), free
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -139,20 +193,18 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _decode("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append(("pem", m.start(), m.end()))
+        out += [("pem", a, b) for a, b in _armoured(text)]
     if ".e" in text:
-        out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if _is_jwt(m)]
+        out += [("jwt", a, b) for a, b in _tokens(text)]
     for m in _RUN.finditer(text):
-        first = _first_bytes(m[0])
-        if first[:1] == b"\x30" or first[:3] == b"\0\0\0" or first.startswith(b"opens"):
-            data = _decode(m[0])
-            if data and first[:1] == b"\x30" and is_der_key(data):
-                out.append(("der", m.start(), m.end()))
-            elif data and is_ssh_key(data):
-                out.append(("ssh", m.start(), m.end()))
+        out += [(kind, m.start() + a, m.start() + b) for kind, a, b in _keys(m[0])]
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            start = m.start() + len(m[0]) - len(m[0].lstrip(" \t>"))
+            whole = re.sub(r"[\s>]+", "", m[0])
+            found = _key_in(whole, 0)
+            if found and found[1] == len(whole):
+                out.append((found[0], start, m.end()))
     for m in _HEX_RUN.finditer(text):
         if m[0][:2] == "30" or m[0][:6] == "000000":
             data = bytes.fromhex(m[0])
