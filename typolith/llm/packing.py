@@ -3,10 +3,10 @@
 Examples have a demand on three limits: tokens, segments and loss-bearing tokens. A sequence is filled by the dot-product
 heuristic: of the examples that still fit all limits, the one whose weighted demand has the largest dot product
 with what is left of the sequence comes next. Examples longer than a sequence are cut into full sequences
-and a rest. Rests are dealt by a hash of (document, start) into groups of bounded size and each group is packed by
+and a rest. Pieces are dealt by a hash of (document, start, ids) into groups of bounded size and each group is packed by
 itself; the number of groups follows the input, and each leaves at most a few sequences underfilled.
 
-Edge cases: null and empty texts have the end id only; repeated rows are packed as documents of their own; ties go to
+Edge cases: null and empty texts have the end id only; a null id stays null; repeated rows are packed as documents of their own; ties go to
 the smaller (doc_id, start); an example that alone exceeds a limit other than tokens gets a sequence for itself;
 an empty table gives no rows; other columns are ignored.
 """
@@ -20,8 +20,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,7 +130,7 @@ def pack(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def pack_pieces(rows: DataFrame, n_rows: int, sequence: int = SEQUENCE, segments: int = SEGMENTS, loss_limit: int | None = None) -> DataFrame:
     """Adds sequence_id, offset and padded. A column `loss` has loss-bearing tokens; without it, all tokens bear loss.
 
-    n_rows: about how many rows there are; it sets the number of groups.
+    n_rows: how many rows there are at most; it sets the number of groups, each of about GROUP_ROWS rows or fewer.
     """
     ship(rows.sparkSession)
     limits = np.array([sequence, segments, loss_limit or sequence])
@@ -138,19 +138,20 @@ def pack_pieces(rows: DataFrame, n_rows: int, sequence: int = SEQUENCE, segments
     names = [c for c in rows.columns if c != "loss"]
     loss = F.col("loss") if "loss" in rows.columns else F.col("length")
 
-    def step(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        demands = np.column_stack([frame["length"], np.ones(len(frame), np.int64), frame["_loss"]])
-        ids, frame["offset"] = pack(demands, limits)
-        total = np.bincount(ids, weights=frame["length"]).astype(np.int64)
+    def step(key: tuple, table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        table = table.take(order)
+        lengths = table.column("length").to_numpy()
+        ids, offset = pack(np.column_stack([lengths, np.ones(len(lengths), np.int64), table.column("_loss").to_numpy()]), limits)
+        total = np.bincount(ids, weights=lengths).astype(np.int64)
         whole = np.where((total & (total - 1)) == 0, total, sequence)
-        frame["sequence_id"] = (int(key[0]) << 32) + ids
-        frame["padded"] = (whole - total)[ids]
-        return frame[[*names, "sequence_id", "offset", "padded"]]
+        added = [(int(key[0].as_py()) << 32) + ids, offset, (whole - total)[ids]]
+        return pa.table([*(table.column(n) for n in names), *(pa.array(v, pa.int64()) for v in added)], names=[*names, "sequence_id", "offset", "padded"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "loss") + ", sequence_id long, offset long, padded long"
-    dealt = rows.withColumn("_loss", loss.cast("long")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.select(*names, "_loss", "_group").groupBy("_group").applyInPandas(step, schema)
+    told = [c for c in ("doc_id", "start", "ids_crc32") if c in names]
+    dealt = rows.withColumn("_loss", loss.cast("long")).withColumn("_group", F.pmod(F.xxhash64(*told), F.lit(groups)))
+    return dealt.select(*names, "_loss", "_group").groupBy("_group").applyInArrow(step, schema)
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -163,7 +164,9 @@ def tokenizer_files() -> tuple[str, str]:
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece of every document, with its place in a sequence."""
     files = (tokenizer_path,) if tokenizer_path else tokenizer_files()
-    return pack_pieces(pieces(docs, *files), docs.count())
+    # a token has a byte at least, so there are no more pieces than this
+    most = docs.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.floor(F.octet_length("text") / SEQUENCE)), F.lit(0))).first()[0]
+    return pack_pieces(pieces(docs, *files), most)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
