@@ -9,7 +9,8 @@ band holds them all. Windows that meet the count are verified by alignment withi
 
 Benchmark items are sent to the executors in blocks of at most BLOCK_CHARS characters; a larger benchmark takes more passes.
 
-Edge cases: null, empty and short texts have no leaks; items under MIN_CHARS letters and digits are ignored, null items too; repeated
+Edge cases: null, empty and short texts have no leaks; items under MIN_CHARS letters and digits are ignored (so short a
+run is found in clean texts as well), and items with a null id or text; repeated
 rows give repeated results; an empty table gives no rows; other columns are ignored (and kept by `drop_leaks`).
 """
 
@@ -69,7 +70,7 @@ class Index:
         self.ids, self.chars = [], []
         for item, text in items:
             chars, _ = normalised(text)
-            if len(chars) >= MIN_CHARS:
+            if len(chars) >= MIN_CHARS and item is not None:
                 self.ids.append(item)
                 self.chars.append(chars)
         grams = [_grams(c) for c in self.chars]
