@@ -36,3 +36,14 @@ def pii(text):
 
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def secrets(text):
+    """Base spans of the secret scan, by start, then kind as listed."""
+    plain = (
+        ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    found = [(m.start(), k, kind, m.end()) for k, (kind, pattern, holds) in enumerate(plain) for m in re.finditer(pattern, text) if holds(m)]
+    return [(kind, start, end) for start, _, kind, end in sorted(found)]

@@ -1,5 +1,6 @@
 """Each operator on edge cases and against a plain form."""
 
+import base64
 import math
 import random
 import time
@@ -104,6 +105,34 @@ def test_secrets():
     assert "[SECRET]" in secrets.redacted(text) and jwt not in secrets.redacted(text)
 
 
+def test_secrets_in_odd_places():
+    numbers = bytes.fromhex("02010002820101" + "00" + "c3" * 256 + "0210" + "51" * 16)
+    der = b"\x30\x82" + len(numbers).to_bytes(2, "big") + numbers
+    body = base64.b64encode(der).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":"1"}', b"0123456789abcdef"))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    spans = lambda t: [(k, t[a:b]) for k, a, b in secrets.scan(t) if k in ("pem", "jwt", "der", "ssh")]
+    for text in (begin + "\\n" + "\\n".join(lines) + "\\n" + end, f"{begin}\nProc-Type: 4\n\n" + "\n".join(lines) + "\n" + end):
+        assert ("pem", text) in spans(text)
+    assert spans(f"endpoint.{jwt}") == [("jwt", jwt)] and spans(f"keys/{body}")[0][0] == "der"
+    assert ("der", "\n".join(lines)) in spans("x\n" + "\n".join(lines))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(b"k" * 32)
+    held = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(b"p" * 64)
+    assert secrets.is_ssh_key(held) and not secrets.is_ssh_key(b"openssh-key-v1\0 and some plain words follow")
+    began = time.time()
+    assert spans((begin + "\n") * 50_000) == [] and spans("M/" * 200_000) == [] and spans("ey." * 200_000) == [] and time.time() - began < 10
+
+
+def test_base_secrets_against_plain_patterns():
+    rng = random.Random(9)
+    bits = ["password", "API_KEY", "secret", "token", '"', "'", " ", ":", "=", "abc123", "x.y-z", "AKIA", "AKIA" + "B7" * 9, "0123456789abcdef" * 2, "é", "\n", "zz"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        assert [s for s in secrets.scan(text) if s[0] in secrets.KINDS[:3]] == brute_spans.secrets(text)
+
+
 def test_secrets_rows(docs):
     out = secrets.find_secrets(docs).collect()
     assert len(out) == len(TEXTS) and secrets.redact_secrets(docs).columns == docs.columns
@@ -122,6 +151,20 @@ def test_top_k(spark):
     assert topk.top_k(_empty(table), F.lit(True)).count() == 0
 
 
+def test_top_k_prunes_clusters():
+    rng = np.random.default_rng(8)
+    for dims in (2, 64):
+        centres = rng.normal(size=(40, dims)) * 100
+        points = np.round(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, dims)))
+        asks = points[::20]
+        found = topk.Search(asks, np.arange(0, 4000, 20), points, np.arange(4000), 10)
+        scores = asks @ points.T
+        scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+        order = np.lexsort((np.broadcast_to(np.arange(4000), scores.shape), -scores))[:, :10]
+        assert (found.best_ids == order).all() and (found.best == np.take_along_axis(scores, order, 1)).all()
+        assert 2 * found.pruned > found.opened > 0 and found.scored < 0.15 * scores.size
+
+
 def test_elias_fano(tmp_path):
     values = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 50_000).astype(np.uint64))
     elias_fano.EliasFano.write(str(tmp_path / "x"), values)
