@@ -31,8 +31,8 @@ KINDS = (
 )
 #: A run of letters with their marks.
 WORD = r"\p{L}[\p{L}\p{M}]*+"
-#: The most numbers that a filter before a join is sent as.
-BUCKETS = 1 << 20
+#: The rows of 64 bits that a filter before a join is sent as, and the most rows of a table that is sent whole.
+BIT_WORDS, FEW = 1 << 20, 1 << 20
 MIN_PREDICTION, SURE, MIN_BITS = 0.5, 0.9, 4.0
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 _TERMS = "array<struct<start:int,end:int,sure:boolean>>"
@@ -117,25 +117,34 @@ def masked(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(needs)), F.concat(kept, F.element_at(F.split(text, pattern, -1), -1))).otherwise(text)
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct lower-case words of a text outside emails."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(masked(text), F.lit(WORD), F.lit(0))), F.lower))
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, spans, terms): direct spans, and the distinct lower-case words outside them."""
+    """(doc_id, text_hash, spans, terms): direct spans, and in texts that have any their words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = F.array_distinct(F.regexp_extract_all(masked(F.col("text")), F.lit(WORD), F.lit(0)))
-    # the lambda's variable and the generator keep the words from being found once for each use
-    both = F.transform(F.array(words), lambda w: F.struct(direct_spans(F.col("text")).alias("spans"), F.array_distinct(F.transform(w, F.lower)).alias("terms")))
+    # the lambda's variable and the generator keep the spans from being found once for each use
+    both = F.transform(F.array(direct_spans(F.col("text"))), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, terms_of(F.col("text"))).alias("terms")))
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(both))
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+def _place(key: Column) -> tuple[Column, Column]:
+    """A word of a bitmap of 64 * BIT_WORDS bits, and a bit of that word."""
+    bit = F.pmod(F.xxhash64(key), F.lit(64 * BIT_WORDS))
+    return F.shiftright(bit, 6), F.pmod(bit, F.lit(64)).cast("int")
 
 
 def _thinned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The rows of left whose key may be in right, by a broadcast of at most BUCKETS numbers; a join still decides."""
-    return left.withColumn("_b", _bucket(F.col(key))).join(F.broadcast(right.select(_bucket(F.col(key)).alias("_b")).distinct()), "_b", "left_semi").drop("_b")
+    """The rows of left whose key may be in right, by a broadcast bitmap of at most BIT_WORDS rows; a join still decides."""
+    word, bit = _place(F.col(key))
+    bits = right.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    kept = left.join(F.broadcast(bits), (word == F.col("_word")) & (F.expr("shiftright(_bits, CAST(pmod(pmod(xxhash64(" + key + "), " + str(64 * BIT_WORDS) + "), 64) AS INT)) & 1") == 1))
+    return kept.select(*left.columns)
 
 
-def disclosing_terms(base: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, prediction, bits): words over the disclosure thresholds for an entity, counted over whole documents."""
     n_docs = max(base.count(), 1)
     # as strings, which Spark tells apart by hash; structs it compares one with another
@@ -143,7 +152,7 @@ def disclosing_terms(base: DataFrame) -> DataFrame:
     named = base.filter(F.size("spans") > 0).select("terms", F.explode(entities).alias("entity"))
     counts = named.groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
     both = named.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("cte"))
-    frequencies = base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = docs.select(F.explode(terms_of(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     likely = both.join(frequencies, "term").withColumn("prediction", F.col("cte") / F.col("df")).filter(F.col("prediction") >= MIN_PREDICTION)
     bits = F.log2(F.col("cte") * F.lit(float(n_docs)) / (F.col("df") * F.col("ce")))
     return likely.join(counts, "entity").select("entity", "term", "prediction", bits.alias("bits")).filter(F.col("bits") >= MIN_BITS)
@@ -152,18 +161,15 @@ def disclosing_terms(base: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, added) for every row: direct spans, and every word that discloses an entity of any document."""
     base = materialise(identified(docs), "pii")
-    guilty = materialise(disclosing_terms(base).groupBy("term").agg((F.max("prediction") >= SURE).alias("sure")), "pii-guilty")
-    sent = F.broadcast(guilty) if guilty.count() <= BUCKETS else guilty
-    named = _thinned(base.select("doc_id", "text_hash", F.explode("terms").alias("term")), guilty, "term").join(sent, "term", "left_semi")
-    named = materialise(named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "pii-has")
-    same = lambda x: x["doc_id"].eqNullSafe(F.col("_id")) & (x["text_hash"] == F.col("_hash"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = _thinned(texts, named.select(F.col("_hash").alias("text_hash")), "text_hash")
-    texts = texts.join(named, same(texts)).dropDuplicates(["_id", "_hash"])
-    words = texts.select("_id", "_hash", F.explode(F.transform(F.array(masked(F.col("text"))), lambda rest: located(rest, WORD))).alias("found"))
-    words = words.select("_id", "_hash", F.inline("found")).withColumn("term", F.lower("value")).join(sent, "term")
-    added = words.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "sure"))).alias("added"))
-    out = base.select("doc_id", "text_hash", "spans").join(added, same(base), "left")
+    guilty = materialise(disclosing_terms(docs, base).groupBy("term").agg((F.max("prediction") >= SURE).alias("sure")), "pii-guilty")
+    sent = F.broadcast(guilty) if guilty.count() <= FEW else guilty
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(located(masked(F.col("text")), WORD)))
+    words = words.select("doc_id", "text_hash", "start", "end", F.lower("value").alias("term"))
+    # equal places of repeated rows are one
+    added = _thinned(words, guilty, "term").join(sent, "term").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    added = added.agg(F.sort_array(F.collect_set(F.struct("start", "end", "sure"))).alias("added"))
+    out = base.select("doc_id", "text_hash", "spans").join(added, base["doc_id"].eqNullSafe(F.col("_id")) & (base["text_hash"] == F.col("_hash")), "left")
     return out.select("doc_id", "text_hash", F.col("spans").alias("base"), F.coalesce("added", F.array().cast(_TERMS)).alias("added"))
 
 
