@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import models, panel, tables
+from .plans import models, panel, reshape, tables
 
-_MODULES = [panel, tables, models]
+_MODULES = [panel, tables, models, reshape]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

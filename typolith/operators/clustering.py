@@ -1,11 +1,102 @@
-"""Lloyd steps over features and, at the same time, over the rows of a sparse network matrix."""
+"""K-means with several starts, and Lloyd steps over features and, at the same time, over the rows of a sparse network matrix.
+
+Centres have as many rows as labels (times starts) and go to every task; what a task returns of a step are sums by label, so nothing that
+grows with the rows is collected.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, ship
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), -1)
+
+
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances to centres (starts, labels, dims), as (rows, starts, labels)."""
+    return ((x[:, None, None, :] - centres[None]) ** 2).sum(axis=3)
+
+
+def _farthest(rows: DataFrame, chosen: np.ndarray) -> np.ndarray:
+    """For each start the row with the largest sum of distances to its chosen rows; ties go to the smaller id."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                total = _far(x, chosen).sum(axis=2).round(9)
+                best = [int(np.lexsort((ids, -total[:, r]))[0]) for r in range(len(chosen))]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chosen)), pa.int32()), pa.array([total[b, r] for r, b in enumerate(best)]), pa.array(ids[best]), batch.column(1).take(pa.array(best))], names=["start", "far", "id", "x"])
+
+    found = rows.mapInArrow(step, "start int, far double, id long, x array<double>").groupBy("start").agg(F.max(F.struct("far", -F.col("id"), "x")).alias("best"))
+    return np.array([r["best"]["x"] for r in sorted(found.collect(), key=lambda r: r["start"])])
+
+
+def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    far = _far(x, centres).round(9)
+    label = far.argmin(axis=2)
+    return label, np.take_along_axis(far, label[:, :, None], 2)[:, :, 0]
+
+
+def kmeans(features: DataFrame, k: int, n_init: int = 10, max_iter: int = 300) -> DataFrame:
+    """(id, label) of the best of n_init starts; features: (id, x), an array of doubles of one length.
+
+    A start takes one row (the smallest ids in the order of a hash) and then the row with the largest sum of distances to those taken. All starts
+    move together, until no centre moves or max_iter; a label without rows keeps its centre. Ties, after rounding to nine digits, go to
+    the smaller label, and the start with the least sum of squared distances wins, the first of equals. Rows with a null id or vector take no part;
+    with fewer distinct rows than labels some labels stay empty; an empty table gives no rows.
+    """
+    ship(features.sparkSession)
+    rows = materialise(features.filter("id IS NOT NULL AND x IS NOT NULL").select(F.col("id").cast("long").alias("id"), "x"), "kmeans")
+    first = rows.orderBy(F.xxhash64("id"), "id").limit(n_init).select("x").collect()
+    if not first:
+        return rows.select("id", F.lit(0).cast("long").alias("label"))
+    centres = np.array([[r["x"]] for r in first])
+    while centres.shape[1] < k:
+        centres = np.concatenate([centres, _farthest(rows, centres)[:, None, :]], axis=1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count, cost = np.zeros_like(centres), np.zeros(centres.shape[:2], np.int64), np.zeros(len(centres))
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            if len(x):
+                label, far = _assigned(x, centres)
+                cost += far.sum(axis=0)
+                for r in range(len(centres)):
+                    np.add.at(total[r], label[:, r], x)
+                    count[r] += np.bincount(label[:, r], minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.ravel().tolist()]), pa.array([count.ravel().tolist()]), pa.array([cost.tolist()])], names=["one", "total", "count", "cost"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        added = [np.sum([np.array(v) for v in table.column(c).to_pylist()], axis=0).tolist() for c in ("total", "count", "cost")]
+        return pa.table([pa.array([a]) for a in added], names=["total", "count", "cost"])
+
+    for _ in range(max_iter):
+        found = rows.mapInArrow(sums, "one long, total array<double>, count array<long>, cost array<double>")
+        (found,) = found.groupBy("one").applyInArrow(merged, "total array<double>, count array<long>, cost array<double>").collect()
+        count = np.array(found["count"]).reshape(centres.shape[:2])
+        fresh = np.where(count[:, :, None] > 0, np.array(found["total"]).reshape(centres.shape) / np.maximum(count, 1)[:, :, None], centres)
+        still = np.abs(fresh - centres).max() < 1e-12
+        centres = fresh
+        if still:
+            break
+    best = centres[int(np.argmin(np.round(found["cost"], 9)))][None]
+
+    def label_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            label = _assigned(x, best)[0][:, 0] if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label.astype(np.int64))], names=["id", "label"])
+
+    return rows.mapInArrow(label_rows, "id long, label long")
 
 
 def _balance(features: DataFrame, edges: DataFrame, n: int) -> float:
@@ -17,8 +108,8 @@ def _balance(features: DataFrame, edges: DataFrame, n: int) -> float:
     return y / p if p > 0 else 0.0
 
 
-def joint_lloyd(features: DataFrame, edges: DataFrame | None, labels: DataFrame, steps: int, xi: float | None = None) -> DataFrame:
-    """(id, label) after some steps from given labels.
+def joint_lloyd(features: DataFrame, edges: DataFrame | None, labels: DataFrame, max_iter: int = 100, xi: float | None = None) -> DataFrame:
+    """(id, label) from given labels on, until none moves or max_iter.
 
     features: (id, dim, x), dense; edges: (i, j, p), the rows of the network matrix, or None; labels: (id, label). An object goes to the
     label with the least squared distance of features plus xi times that of network rows; ties, after rounding to nine digits, go to the
@@ -30,7 +121,7 @@ def joint_lloyd(features: DataFrame, edges: DataFrame | None, labels: DataFrame,
         edges = materialise(edges, "lloyd-edges")
         weight = _balance(features, edges, labels.count()) if xi is None else xi
         own = edges.groupBy(F.col("i").alias("id")).agg(F.sum(F.col("p") * F.col("p")).alias("pp"))
-    for _ in range(steps):
+    for _ in range(max_iter):
         centres = features.join(labels, "id").groupBy("label", "dim").agg(F.avg("x").alias("c"))
         far = features.join(centres, "dim").groupBy("id", "label").agg(F.sum(F.pow(F.col("x") - F.col("c"), 2)).alias("d"))
         if edges is not None:
@@ -43,5 +134,9 @@ def joint_lloyd(features: DataFrame, edges: DataFrame | None, labels: DataFrame,
             part = F.coalesce("pp", F.lit(0.0)) - 2 * F.coalesce("dot", F.lit(0.0)) + F.coalesce("cc", F.lit(0.0))
             far = far.withColumn("d", F.col("d") + weight * part)
         nearest = far.groupBy("id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "label")).alias("best"))
-        labels = materialise(nearest.select("id", F.col("best.label").alias("label")), "lloyd-labels")
+        fresh = materialise(nearest.select("id", F.col("best.label").alias("label")), "lloyd-labels")
+        moved = fresh.join(labels.withColumnRenamed("label", "before"), "id").filter("label <> before").limit(1).count()
+        labels = fresh
+        if not moved:
+            break
     return labels

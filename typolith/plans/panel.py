@@ -6,7 +6,10 @@ than MIN_PERIODS complete quarters are left out. Labels name the category with t
 
 from __future__ import annotations
 
-from .sqlpair import Book
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import materialise
+from .sqlpair import Book, spark_text
 
 MIN_PERIODS = 24
 NAMED = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
@@ -19,7 +22,7 @@ _mean_log = "(" + " + ".join(f"ln(s_{c} + 1e-6)" for c in _ALL) + ") / 6"
 _clr = ",\n    ".join(f"ln(s_{c} + 1e-6) - {_mean_log} AS clr_{c}" for c in _ALL)
 _label = "CASE " + " ".join(f"WHEN s_{c} >= greatest({', '.join('s_' + x for x in _ALL)}) THEN {i}" for i, c in enumerate(_ALL)) + " END"
 
-PREFIX = f"""WITH long AS (
+_BUILD = f"""WITH long AS (
   SELECT l_suppkey AS entity, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period, p_type AS category, sum(l_extendedprice) AS value
   FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey GROUP BY 1, 2, 3
 ), wide AS (
@@ -37,7 +40,8 @@ PREFIX = f"""WITH long AS (
     ln(greatest(total, 1e0)) AS log_total,
     ln(greatest(total, 1e0)) - median(ln(greatest(total, 1e0))) OVER (PARTITION BY period) AS rel_level
   FROM shares
-), feats AS (
+)"""
+_DERIVED = f"""feats AS (
   SELECT a.*, a.log_total - b.log_total AS yoy_log FROM level AS a
   LEFT JOIN level AS b ON a.entity = b.entity AND b.period = CAST(a.period - INTERVAL '12' MONTH AS DATE)
 ), labels_at AS (
@@ -53,7 +57,20 @@ PREFIX = f"""WITH long AS (
   FROM feats GROUP BY entity
 )
 """
-BOOK = Book(PREFIX)
+ORACLE_PREFIX = _BUILD + ", " + _DERIVED
+PREFIX = "WITH wide AS (SELECT * FROM {wide}), panel AS (SELECT * FROM {level}), level AS (SELECT * FROM {level}), " + _DERIVED
+
+
+def panel_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The wide table of entities and periods, and the complete panel with shares and levels; both are written once for a query."""
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
+    cut = _BUILD.index("), whole AS (")
+    wide = materialise(spark.sql(spark_text(_BUILD[:cut] + ") SELECT * FROM wide"), **read), "panel-wide")
+    level = "WITH " + _BUILD[cut + 3 :] + " SELECT * FROM level"
+    return {"wide": wide, "level": materialise(spark.sql(spark_text(level.replace("FROM wide", "FROM {wide}")), wide=wide), "panel-level")}
+
+
+BOOK = Book(PREFIX, ORACLE_PREFIX, panel_tables)
 _add = BOOK.add
 _feature_columns = ", ".join([*(f"R[s_{c};6] AS share_{c}" for c in _ALL), *(f"R[clr_{c};6] AS clr_{c}" for c in _ALL)])
 
@@ -62,11 +79,11 @@ _add("panel_pivot", "SELECT entity, period, R[total;4] AS total, " + ", ".join(f
 _add("panel_complete", "SELECT entity, period, n_periods, R[total;4] AS total, R[other;4] AS other FROM panel")
 _add("features_panel", f"SELECT entity, period, {_feature_columns}, R[log_total;6] AS log_total, R[rel_level;6] AS rel_level, R[yoy_log;6] AS yoy_log FROM feats")
 _add("features_profile", "SELECT entity, R[rel_mean;6] AS rel_mean, R[rel_sd;6] AS rel_sd, R[amplitude;6] AS amplitude, R[growth;6] AS growth, R[m_economy;6] AS share_economy FROM profile")
-_add("trend_six", """SELECT entity, R[avg(CASE WHEN late <= 6 THEN log_total END) - avg(CASE WHEN early <= 6 THEN log_total END);6] AS trend FROM (
-  SELECT entity, log_total, row_number() OVER (PARTITION BY entity ORDER BY period) AS early, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS late FROM level) AS t GROUP BY entity""")
+_add("trend_six", """SELECT entity, R[avg(CASE WHEN late <= 6 THEN s_economy END) - avg(CASE WHEN early <= 6 THEN s_economy END);6] AS trend FROM (
+  SELECT entity, s_economy, row_number() OVER (PARTITION BY entity ORDER BY period) AS early, row_number() OVER (PARTITION BY entity ORDER BY period DESC) AS late FROM level) AS t GROUP BY entity""")
 _add("zscore_clip", """SELECT entity, R[coalesce(greatest(-4e0, least(4e0, (rel_mean - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END)), 0e0);6] AS z FROM profile
   CROSS JOIN (SELECT avg(rel_mean) AS m, stddev_samp(rel_mean) AS sd FROM profile) AS s""")
-_add("zscore_robust", """SELECT entity, R[greatest(-4e0, least(4e0, coalesce((rel_mean - m) / nullif(1.4826e0 * mad, 0e0), 0e0)));6] AS z FROM profile CROSS JOIN (
+_add("zscore_robust", """SELECT entity, R[greatest(-4e0, least(4e0, coalesce((rel_mean - m) / CASE WHEN mad > 0 THEN 1.4826e0 * mad ELSE 1 END, 0e0)));6] AS z FROM profile CROSS JOIN (
   SELECT m, median(abs(rel_mean - m)) AS mad FROM profile CROSS JOIN (SELECT median(rel_mean) AS m FROM profile) AS c GROUP BY m) AS s""")
 _add("fill_rate_columns", """SELECT 'yoy_log' AS name, R[avg(CASE WHEN yoy_log IS NOT NULL THEN 1e0 ELSE 0e0 END);6] AS rate FROM feats
   UNION ALL SELECT 'rel_level', R[avg(CASE WHEN rel_level IS NOT NULL THEN 1e0 ELSE 0e0 END);6] FROM feats""")
@@ -88,7 +105,7 @@ _add("percentile_rank", """SELECT entity, R[(rank() OVER (PARTITION BY label ORD
 _add("contingency", "SELECT m.label AS modal_label, s_nationkey % 5 AS zone, count(*) AS n FROM modal AS m JOIN {supplier} ON s_suppkey = m.entity GROUP BY 1, 2")
 _add("purity", """SELECT R[sum(most) / sum(n);6] AS purity FROM (
   SELECT label, max(n) AS most, sum(n) AS n FROM (SELECT m.label, s_nationkey % 5 AS zone, count(*) AS n FROM modal AS m JOIN {supplier} ON s_suppkey = m.entity GROUP BY 1, 2) AS c GROUP BY label) AS p""")
-_add("ari", """SELECT R[(nij - a * b / n2) / ((a + b) / 2 - a * b / n2);6] AS ari FROM (
+_add("ari", """SELECT R[CASE WHEN (a + b) / 2 = a * b / n2 THEN 1e0 ELSE (nij - a * b / n2) / nullif((a + b) / 2 - a * b / n2, 0e0) END;6] AS ari FROM (
   SELECT (SELECT sum(n * (n - 1) / 2e0) FROM (SELECT count(*) AS n FROM modal JOIN {supplier} ON s_suppkey = entity GROUP BY label, s_nationkey % 5) AS x) AS nij,
     (SELECT sum(n * (n - 1) / 2e0) FROM (SELECT count(*) AS n FROM modal GROUP BY label) AS x) AS a,
     (SELECT sum(n * (n - 1) / 2e0) FROM (SELECT count(*) AS n FROM modal JOIN {supplier} ON s_suppkey = entity GROUP BY s_nationkey % 5) AS x) AS b,
@@ -121,9 +138,14 @@ _add("top_n_per_group", """SELECT label, entity, CAST(place AS BIGINT) AS place
 _add("correlation", "SELECT R[corr(m_economy, m_large);6] AS r, count(*) AS n FROM profile")
 _add("eta_squared", """SELECT R[sum(n * (m - g) * (m - g)) / max(t);6] AS eta2 FROM (SELECT label, count(*) AS n, avg(rel_mean) AS m FROM profile JOIN modal USING (entity) GROUP BY label) AS x
   CROSS JOIN (SELECT avg(rel_mean) AS g, var_pop(rel_mean) * count(*) AS t FROM profile) AS y""")
-_add("kruskal_h", """SELECT R[(12 / (max(nn) * (max(nn) + 1e0)) * sum(n * mean_rank * mean_rank) - 3 * (max(nn) + 1));6] AS h FROM (
-  SELECT label, count(*) AS n, avg(r) AS mean_rank, max(nn) AS nn FROM (
-    SELECT label, rank() OVER (ORDER BY growth) + (count(*) OVER (PARTITION BY growth) - 1) / 2e0 AS r, count(*) OVER () AS nn FROM profile JOIN modal USING (entity) WHERE growth IS NOT NULL) AS x GROUP BY label) AS y""")
+# ranks of values with their ties; groups of at most five are left out; eta2 is (h - k + 1) / (n - k)
+_add("kruskal_h", """, kept AS (SELECT label, growth AS x FROM profile JOIN modal USING (entity) WHERE growth IS NOT NULL AND label IN (
+   SELECT label FROM profile JOIN modal USING (entity) WHERE growth IS NOT NULL GROUP BY label HAVING count(*) > 5)),
+ counts AS (SELECT x, count(*) AS t FROM kept GROUP BY x), below AS (SELECT a.x, a.t, coalesce(sum(b.t), 0) AS less FROM counts AS a LEFT JOIN counts AS b ON b.x < a.x GROUP BY a.x, a.t),
+ ranks AS (SELECT label, count(*) AS n, sum(less + (t + 1) / 2e0) AS r FROM kept JOIN below USING (x) GROUP BY label),
+ total AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, count(*) AS k, sum(r * r / n) AS q FROM ranks), ties AS (SELECT CAST(sum(t * t * t - t) AS DOUBLE) AS c FROM counts),
+ h AS (SELECT nn, k, (12 / (nn * (nn + 1)) * q - 3 * (nn + 1)) / nullif(1 - c / (nn * nn * nn - nn), 0e0) AS h FROM total CROSS JOIN ties)
+ SELECT CAST(nn AS BIGINT) AS n, k, R[h;6] AS h, R[(h - k + 1) / nullif(nn - k, 0e0);6] AS eta2 FROM h""")
 _add("ols_two", """SELECT R[covar_samp(growth, rel_mean) / var_samp(rel_mean);6] AS slope, R[avg(growth) - covar_samp(growth, rel_mean) / var_samp(rel_mean) * avg(rel_mean);6] AS intercept, R[power(corr(growth, rel_mean), 2);6] AS r2, count(*) AS n FROM profile WHERE growth IS NOT NULL""")
 _add("dispersion_ratio", """SELECT period, R[ln(first_value(h) OVER (ORDER BY period) / h);6] AS log_ratio FROM (SELECT period, avg(power(total / mean_total - 1, 2)) AS h FROM (
   SELECT period, total, avg(total) OVER (PARTITION BY period) AS mean_total FROM panel) AS x GROUP BY period) AS y""")

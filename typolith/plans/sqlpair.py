@@ -26,13 +26,17 @@ def duck_text(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
-def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query over one folder of Parquet tables; only the tables that it names are read."""
+Maker = Callable[[SparkSession, str], dict[str, DataFrame]]
+
+
+def query(sql: str, make: Maker | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over one folder of Parquet tables; only the tables that it names are read. make: tables of its own, named in place holders too."""
     text = spark_text(sql)
     names = [t for t in TABLES if "{" + t + "}" in text]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+        made = make(spark, sf_dir) if make else {}
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}, **made)
 
     return run
 
@@ -40,9 +44,11 @@ def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 class Book:
     """Named queries with their SQL for both engines."""
 
-    def __init__(self, prefix: str = "") -> None:
-        self.prefix, self.queries, self.oracles = prefix, {}, {}
+    def __init__(self, prefix: str = "", oracle_prefix: str | None = None, make: Maker | None = None) -> None:
+        self.prefix, self.make, self.queries, self.oracles = prefix, make, {}, {}
+        self.oracle_prefix = prefix if oracle_prefix is None else oracle_prefix
 
     def add(self, name: str, sql: str, oracle: str | None = None) -> None:
-        self.queries[name] = query(self.prefix + sql)
-        self.oracles[name] = duck_text(self.prefix + (oracle or sql))
+        """oracle: a text of its own for the other engine, else the same."""
+        self.queries[name] = query(self.prefix + sql, self.make)
+        self.oracles[name] = duck_text(self.oracle_prefix + (oracle or sql))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .sqlpair import Book
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import neighbours
+from ..session import materialise
+from .sqlpair import Book, duck_text, spark_text
 
 BOOK = Book()
 _add = BOOK.add
@@ -30,35 +35,67 @@ _add("version_pick", """WITH v AS (SELECT o_custkey, o_orderkey, year(o_orderdat
 _add("semi_filter", "SELECT c_custkey, c_nationkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _add("anti_union", "SELECT c_custkey AS id, 'no order' AS kind FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey) UNION ALL SELECT s_suppkey, 'supplier' FROM {supplier} WHERE s_acctbal < 0")
 _add("star_left_join", "SELECT s_suppkey, R[s_acctbal;2] AS balance, n_name, r_name FROM {supplier} LEFT JOIN {nation} ON s_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey")
-_add("unique_name_join", "SELECT p_name, n, s_suppkey FROM (SELECT p_name, max(p_partkey) AS p_partkey, count(*) AS n FROM {part} GROUP BY p_name HAVING count(*) = 1) AS p JOIN {supplier} ON s_suppkey = p_partkey % 10")
+_add("unique_name_join", """SELECT n_name, s_suppkey, regions FROM (SELECT n_name, n_nationkey, n_regionkey, count(*) OVER (PARTITION BY n_name) AS same FROM {nation}) AS n
+  JOIN {supplier} ON s_nationkey = n_nationkey JOIN (SELECT r_regionkey, count(*) OVER (PARTITION BY r_name) AS regions FROM {region}) AS r ON r_regionkey = n_regionkey WHERE same = 1 AND regions = 1""")
 _add("pivot_first_share", """SELECT nation, R[low / nullif(total, 0e0);6] AS low_share, R[high / nullif(total, 0e0);6] AS high_share FROM (SELECT c_nationkey AS nation, CAST(count(*) AS DOUBLE) AS total,
   CAST(count(CASE WHEN c_acctbal < 0 THEN 1 END) AS DOUBLE) AS low, CAST(count(CASE WHEN c_acctbal > 5000 THEN 1 END) AS DOUBLE) AS high FROM {customer} GROUP BY c_nationkey) AS t""")
 _add("event_transitions", "SELECT origin, target, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS origin, event_type AS target FROM {events}) AS e WHERE origin IS NOT NULL GROUP BY origin, target")
 _add("label_contingency", "SELECT CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic, count(*) AS n FROM {labels} GROUP BY quality, toxic")
 
 # vectors and graphs; edges go both ways
-_PAIRS_SPARK = """WITH v AS (SELECT vec_id, label, transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM {embeddings}),
- u AS (SELECT vec_id, label, e, sqrt(aggregate(e, 0e0, (a, x) -> a + x * x)) AS norm FROM v),
- sims AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, round(aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0e0, (s, x) -> s + x) / (a.norm * b.norm), 9) AS s FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id),"""
+K, K_WIDE = 15, 50
 _PAIRS_DUCK = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
- sims AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),"""
-_GRAPH = """ near AS (SELECT i, j, li, lj, s FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM sims) AS r WHERE k <= 15),
- mutual AS (SELECT a.i, a.j, a.li, a.lj, greatest(a.s, 1e-9) AS w FROM near AS a JOIN near AS b ON a.i = b.j AND a.j = b.i),
+ sims AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),
+ near AS MATERIALIZED (SELECT i, j, li, lj, s FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM sims) AS r WHERE k <= 15),"""
+_MUTUAL = "SELECT a.i, a.j, a.li, a.lj, greatest(a.s, 1e-9) AS w FROM {near} AS a JOIN {near} AS b ON a.i = b.j AND a.j = b.i"
+
+
+def graph_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The K nearest of every vector, and the edges of the mutual graph; both are written once for a query."""
+    near = materialise(neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), K), "near")
+    return {"near": near, "mutual": materialise(spark.sql(_MUTUAL, near=near), "mutual")}
+
+
+_GRAPH_DUCK = """ mutual AS MATERIALIZED (SELECT a.i, a.j, a.li, a.lj, greatest(a.s, 1e-9) AS w FROM near AS a JOIN near AS b ON a.i = b.j AND a.j = b.i),
  degree AS (SELECT i, count(*) AS d, sum(w) AS strength FROM mutual GROUP BY i)
 """
+_GRAPH = "WITH near AS (SELECT * FROM {near}), mutual AS (SELECT * FROM {mutual}), degree AS (SELECT i, count(*) AS d, sum(w) AS strength FROM {mutual} GROUP BY i)\n"
+_edges = Book(_GRAPH, _PAIRS_DUCK + _GRAPH_DUCK, graph_tables)
+_graph = _edges.add
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _shown(pairs: DataFrame, value: str = "s") -> DataFrame:
+    return pairs.select("i", "j", (F.round("s", 6) + F.lit(0e0)).alias(value))
+
+
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(neighbours.similar(_vectors(spark, sf_dir), 0.4))
+
+
+def epsilon_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many of the most similar pairs as the mutual graph has edges."""
+    edges = graph_tables(spark, sf_dir)["mutual"].count() // 2
+    return _shown(neighbours.best_pairs(_vectors(spark, sf_dir), edges))
+
+
+def disparity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the union of the K_WIDE nearest, the probability with which they stand out at either end, and whether that is under 0.05."""
+    near = materialise(neighbours.nearest(_vectors(spark, sf_dir), K_WIDE), "wide")
+    return spark.sql(spark_text(_DISPARITY), near=near)
 
 
-def _graph(name: str, sql: str) -> None:
-    _add(name, _PAIRS_SPARK + _GRAPH + sql, _PAIRS_DUCK + _GRAPH + sql)
+_DISPARITY = """WITH e AS (SELECT i, j, max(greatest(s, 1e-9)) AS w FROM (SELECT i, j, s FROM {near} UNION ALL SELECT j, i, s FROM {near}) AS x GROUP BY i, j),
+ degree AS (SELECT i, count(*) AS d, sum(w) AS strength FROM e GROUP BY i)
+ SELECT i, j, R[w;6] AS w, R[p;6] AS p, p < 0.05 AS kept FROM (SELECT e.i, e.j, e.w, least(CASE WHEN a.d > 1 THEN power(1 - e.w / a.strength, a.d - 1) ELSE 1 END, CASE WHEN b.d > 1 THEN power(1 - e.w / b.strength, b.d - 1) ELSE 1 END) AS p
+  FROM e JOIN degree AS a ON a.i = e.i JOIN degree AS b ON b.i = e.j WHERE e.i < e.j) AS x"""
 
 
-_graph("cosine_pairs", "SELECT i, j, R[s;6] AS s FROM sims WHERE i < j AND s > 0.5")
 _graph("knn_mutual", "SELECT i, j, R[w;6] AS w FROM mutual")
 _graph("knn_union", "SELECT i, j, R[max(s);6] AS w FROM (SELECT i, j, s FROM near UNION ALL SELECT j, i, s FROM near) AS x GROUP BY i, j")
-_graph("epsilon_edges", "SELECT i, j, R[s;6] AS s FROM sims WHERE i < j ORDER BY s DESC, i, j LIMIT 500")
-# epsilon_edges stops at 500 edges, as its SQL does; this one keeps as many as the mutual graph has
-_graph("epsilon_edges_mutual", "SELECT i, j, R[s;6] AS s FROM (SELECT i, j, s, row_number() OVER (ORDER BY s DESC, i, j) AS k FROM sims WHERE i < j) AS r CROSS JOIN (SELECT count(*) / 2 AS n FROM mutual) AS m WHERE k <= n")
-_graph("disparity_edges", "SELECT m.i, m.j, R[m.w;6] AS w FROM mutual AS m JOIN degree AS a ON a.i = m.i WHERE a.d > 1 AND power(1 - m.w / a.strength, a.d - 1) < 0.4")
 _graph("graph_stats", "SELECT CAST(sum(d) / 2 AS BIGINT) AS edges, R[avg(d);6] AS mean_degree, min(d) AS least, max(d) AS most FROM degree")
 _graph("row_normalise", "SELECT m.i, m.j, R[m.w / a.strength;6] AS p FROM mutual AS m JOIN degree AS a ON a.i = m.i")
 _graph("diffusion_two_step", """, t AS (SELECT m.i, m.j, m.w / a.strength AS p FROM mutual AS m JOIN degree AS a ON a.i = m.i)
@@ -74,4 +111,9 @@ _graph("local_clustering", """SELECT d.i, R[CASE WHEN d.d < 2 THEN 0e0 ELSE coal
 _graph("same_label_share", "SELECT R[avg(CASE WHEN li = lj THEN 1e0 ELSE 0e0 END);6] AS share FROM mutual")
 _graph("degree_assortativity", "SELECT R[corr(a.d, b.d);6] AS r FROM mutual AS m JOIN degree AS a ON a.i = m.i JOIN degree AS b ON b.i = m.j")
 
-QUERIES, ORACLES = BOOK.queries, BOOK.oracles
+QUERIES = BOOK.queries | _edges.queries | {"cosine_pairs": cosine_pairs, "epsilon_edges": epsilon_edges, "disparity_edges": disparity_edges}
+ORACLES = BOOK.oracles | _edges.oracles | {
+    "cosine_pairs": duck_text(_PAIRS_DUCK[:-1] + " SELECT i, j, R[s;6] AS s FROM sims WHERE i < j AND s > 0.4"),
+    "epsilon_edges": duck_text(_PAIRS_DUCK + _GRAPH_DUCK + "SELECT i, j, R[s;6] AS s FROM (SELECT i, j, s, row_number() OVER (ORDER BY s DESC, i, j) AS k FROM sims WHERE i < j) AS r WHERE k <= (SELECT count(*) / 2 FROM mutual)"),
+    "disparity_edges": duck_text(_PAIRS_DUCK.replace("k <= 15", f"k <= {K_WIDE}") + _DISPARITY.replace("WITH ", " ", 1).replace("{near}", "near")),
+}
