@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import models, panel, reshape, tables
+from .plans import models, panel, quality, reshape, tables
 
-_MODULES = [panel, tables, models, reshape]
+_MODULES = [panel, tables, models, reshape, quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,13 +26,13 @@ def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _farthest(rows: DataFrame, chosen: np.ndarray) -> np.ndarray:
-    """For each start the row with the largest sum of distances to its chosen rows; ties go to the smaller id."""
+    """For each start the row that is farthest from the nearest of its chosen rows; ties go to the smaller id."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                total = _far(x, chosen).sum(axis=2).round(9)
+                total = _far(x, chosen).min(axis=2).round(9)
                 best = [int(np.lexsort((ids, -total[:, r]))[0]) for r in range(len(chosen))]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(chosen)), pa.int32()), pa.array([total[b, r] for r, b in enumerate(best)]), pa.array(ids[best]), batch.column(1).take(pa.array(best))], names=["start", "far", "id", "x"])
 
@@ -49,7 +49,7 @@ def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def kmeans(features: DataFrame, k: int, n_init: int = 10, max_iter: int = 300) -> DataFrame:
     """(id, label) of the best of n_init starts; features: (id, x), an array of doubles of one length.
 
-    A start takes one row (the smallest ids in the order of a hash) and then the row with the largest sum of distances to those taken. All starts
+    A start takes one row (the smallest ids in the order of a hash) and then the row that is farthest from those taken. All starts
     move together, until no centre moves or max_iter; a label without rows keeps its centre. Ties, after rounding to nine digits, go to
     the smaller label, and the start with the least sum of squared distances wins, the first of equals. Rows with a null id or vector take no part;
     with fewer distinct rows than labels some labels stay empty; an empty table gives no rows.
