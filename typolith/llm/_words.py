@@ -6,7 +6,8 @@ Words are runs of bytes other than space and 0x09-0x0D; A-Z are lower-cased. A w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,26 @@ CHUNK = 1 << 20
 _tables: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same step of mapInArrow, with its memory given back when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finisher of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

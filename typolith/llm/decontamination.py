@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._words import releasing
 
 Q, WINDOW, STRIDE, MIN_CHARS, LEAST = 8, 80, 20, 40, 20
 EDIT_SHARE = 0.08
@@ -212,7 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "windows", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(step, "doc_id long, item_id long, windows long, start long, end long, edits long")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(step), "doc_id long, item_id long, windows long, start long, end long, edits long")
         out = part if out is None else out.union(part)
     return out
 
@@ -229,7 +230,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not known.leaks(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(step, docs.schema)
+        docs = docs.mapInArrow(releasing(step), docs.schema)
     return docs
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise, ship
-from ._words import hashed_rows, mix
+from ._words import hashed_rows, mix, releasing
 from .graph import components
 
 WIDTH = 5
@@ -52,8 +52,8 @@ _SALTS = 8
 class Sizes(NamedTuple):
     """How the work is cut; other sizes give the same result."""
 
-    block_items: int = 1 << 21  # shingles of a block of texts
-    range_items: int = 1 << 21  # shingles of a hash range
+    block_items: int = 1 << 20  # shingles of a block of texts
+    range_items: int = 1 << 20  # shingles of a hash range
     tree_rows: int = 1024  # texts of a block of a run
     few: int = 2_000_000  # the longest list of keys that is broadcast
 
@@ -192,7 +192,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
             n, key = (pa.array([s[k] for s in sets], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), n, key], names=["doc_id", "n", "key"])
 
-    return rows.mapInArrow(step, "doc_id long, n long, key long")
+    return rows.mapInArrow(releasing(step), "doc_id long, n long, key long")
 
 
 _MESSAGE = ["r", "block", "low", "high", "at", "times", "docs", "meta"]
@@ -242,7 +242,7 @@ def _announced(rows: DataFrame, ranges: int, block_items: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.select("text").mapInArrow(step, "r long, block long, low binary, high binary, at binary, times binary, docs binary, meta binary")
+    return rows.select("text").mapInArrow(releasing(step), "r long, block long, low binary, high binary, at binary, times binary, docs binary, meta binary")
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -345,9 +345,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return texts.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     near = pairs.select("a", "b").join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b")
-    near = near.filter("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a").select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(bounded, "a long, b long")
+    near = near.filter("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a").select("a", "b", "n_a", "point_a", "n_b", "point_b").mapInArrow(releasing(bounded), "a long, b long")
     both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(whole, "a long, b long")
+    return both.mapInArrow(releasing(whole), "a long, b long")
 
 
 def _described(rows: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def _described(rows: DataFrame) -> DataFrame:
                 names=["key", "n", "point", "text"],
             )
 
-    return rows.select("text").mapInArrow(step, "key long, n long, point array<tinyint>, text string")
+    return rows.select("text").mapInArrow(releasing(step), "key long, n long, point array<tinyint>, text string")
 
 
 def _blocks(rows: DataFrame, tree_rows: int) -> DataFrame:
@@ -422,7 +422,7 @@ def _tree_pairs(rows: DataFrame, tree_rows: int) -> DataFrame:
             yield joined(rest)
 
     dealt = _blocks(rows, tree_rows).repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key")
-    return dealt.mapInArrow(step, "a long, b long")
+    return dealt.mapInArrow(releasing(step), "a long, b long")
 
 
 def _open(runs: DataFrame, labels: DataFrame | None, sizes: Sizes) -> DataFrame:
@@ -528,7 +528,7 @@ def _one_of_each(rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -
             yield batch.append_column("_own_key", pa.array([fingerprint(s) for s in sets_of(batch.column(at))], _LONG))
 
     schema = StructType([*rows.schema.fields, StructField("_own_key", LongType())])
-    keyed = rows.mapInArrow(step, schema).dropDuplicates([id_col, "_own_key"])
+    keyed = rows.mapInArrow(releasing(step), schema).dropDuplicates([id_col, "_own_key"])
     return keyed.join(kept, _same(keyed[id_col].cast("long"), kept["_id"]) & (keyed["_own_key"] == kept["_key"]), "left_semi").select(*names)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ._words import hashed_rows, mix
+from ._words import hashed_rows, mix, releasing
 from .elias_fano import Trie
 
 MASS = 500.0
@@ -99,7 +99,7 @@ def vocabulary(docs: DataFrame, ranges: int, sizes: Sizes) -> tuple[int, int, di
         often = np.flatnonzero(4 * total > sizes.range_tokens)
         return pa.table([pa.array([len(known)], _LONG), pa.array([int(total.sum())], _LONG), pa.array([known[often].view(np.int64).tolist()], pa.list_(_LONG)), pa.array([total[often].tolist()], pa.list_(_LONG))], names=["types", "tokens", "words", "n"])
 
-    rows = docs.select("text", "held_out").mapInArrow(count, "r long, words binary, n binary").groupBy("r").applyInArrow(merge, "types long, tokens long, words array<long>, n array<long>").collect()
+    rows = docs.select("text", "held_out").mapInArrow(releasing(count), "r long, words binary, n binary").groupBy("r").applyInArrow(merge, "types long, tokens long, words array<long>, n array<long>").collect()
     frequent = {w: n for r in rows for w, n in zip(r["words"], r["n"], strict=True)}
     return sum(r["tokens"] for r in rows), sum(r["types"] for r in rows), frequent
 
@@ -189,7 +189,7 @@ def _requests(docs: DataFrame, ranges: int, frequent: np.ndarray, sizes: Sizes)
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(step, _schema(_REQUEST))
+    return docs.select("doc_id", "text", "held_out").mapInArrow(releasing(step), _schema(_REQUEST))
 
 
 def _serve(table: pa.Table, tokens: int, types: int, frequent: np.ndarray, counts: np.ndarray) -> pa.Table:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._words import releasing
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
 GROUP_ROWS = 8192
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None,
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(step, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(releasing(step), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

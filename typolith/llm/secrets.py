@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
+from ._words import releasing
 
 #: The base patterns in the order of their kinds.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
@@ -239,7 +240,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: counts by base kind, digest of base spans, all spans, and how many structure confirmed."""
     ship(docs.sparkSession)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_scan_batches, schema)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(releasing(_scan_batches), schema)
 
 
 def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -265,7 +266,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             column = pa.array([redacted(t) for t in batch.column(at).to_pylist()], pa.string())
             yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), column)
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(releasing(step), docs.schema)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

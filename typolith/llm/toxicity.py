@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ._words import releasing
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 20_000
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
         total[_class(r["_y"])] += r["count"]
     if not total[0] or not total[1]:
         return Model([], np.zeros(0), math.log((total[1] + 1.0) / (total[0] + 1.0)))
-    counts = texts.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.mapInArrow(releasing(count), "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p0, p1 = (F.col("n0") + 0.5) / (total[0] + 1.0), (F.col("n1") + 0.5) / (total[1] + 1.0)
     z = (p1 - p0) / F.sqrt(p0 * (1 - p0) / total[0] + p1 * (1 - p1) / total[1])
     useful = counts.filter((F.col("n0") + F.col("n1") >= 3) & (F.abs(F.log(p1 / p0)) >= 0.7)).select("f", F.abs(z).alias("z")).filter("z >= 3")
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
                 names=["y", "x", "swapped"],
             )
 
-    found = texts.mapInArrow(sparse, "y long, x array<int>, swapped array<int>").collect()
+    found = texts.mapInArrow(releasing(sparse), "y long, x array<int>, swapped array<int>").collect()
     data = [(_class(r["y"]), list(r["x"]), None if r["swapped"] is None else list(r["swapped"])) for r in found]
     weights, bias = train(data, len(names))
     return Model(names, weights, bias)
@@ -198,7 +199,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return docs.select("doc_id", "text").mapInArrow(releasing(step), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -211,7 +212,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(releasing(step), docs.schema)
 
 
 def learned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
