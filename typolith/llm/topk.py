@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-LEAF, ASK_LEAF, MOST, FEW, BATCH, BASE = 64, 8, 64, 8, 1024, 1.5
+LEAF, ASK_LEAF, ASK_GROUP, MOST, FEW, BATCH, BASE = 64, 8, 256, 64, 8, 4096, 1.5
 CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 4_096
 _NO_ID = np.iinfo(np.int64).max
 
@@ -74,64 +74,113 @@ class Cover:
             yield from part.leaves()
 
 
+class Flat:
+    """The nodes of a tree as arrays, so that many bounds are one product. Each node's points are a stretch of `order`."""
+
+    def __init__(self, root: Cover) -> None:
+        self.nodes: list[Cover] = []
+        self.kids: list[np.ndarray] = []
+        rows: list[np.ndarray] = []
+        low: list[int] = []
+        at = 0
+
+        def add(node: Cover) -> int:
+            nonlocal at
+            place = len(self.nodes)
+            self.nodes.append(node)
+            self.kids.append(np.zeros(0, np.int64))
+            low.append(at)
+            if not node.parts:
+                rows.append(node.rows)
+                at += len(node.rows)
+            self.kids[place] = np.array([add(p) for p in node.parts], np.int64)
+            return place
+
+        add(root)
+        self.order = np.concatenate(rows)
+        self.low = np.array(low)
+        self.size = np.array([len(n.rows) for n in self.nodes])
+        self.leaf = np.array([not n.parts for n in self.nodes])
+        self.centre = np.stack([n.centre for n in self.nodes])
+        self.norm, self.radius = np.array([n.norm for n in self.nodes]), np.array([n.radius for n in self.nodes])
+
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[self.low[node] : self.low[node] + self.size[node]]
+
+    def bounds(self, group: Cover, nodes: np.ndarray) -> np.ndarray:
+        """The most that a query of a group and a point of each node can score."""
+        norm, radius = self.norm[nodes], self.radius[nodes]
+        bound = self.centre[nodes] @ group.centre + group.norm * radius + norm * group.radius + radius * group.radius
+        return bound + 1e-9 * (np.abs(bound) + 1)
+
+    def opened(self, nodes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The nodes, those of `which` replaced by their children."""
+        return np.concatenate([nodes[~which], *(self.kids[n] for n in nodes[which])])
+
+
 class Search:
     """The k best candidates of each query of a block; pruned counts node pairs that were left out, opened those that were not."""
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> None:
         self.queries, self.query_ids, self.points, self.ids, self.k = queries, query_ids, points, ids, k
         self.best = np.full((len(queries), k), -np.inf)
-        self.best_ids = np.full((len(queries), k), _NO_ID)
+        self.best_at = np.full((len(queries), k), -1)
         self.pruned = self.opened = self.scored = 0
-        self.seen: dict[int, set[int]] = {}
         if len(queries) and len(points):
-            asks, tree = Cover(queries, np.arange(len(queries)), 0, ASK_LEAF), Cover(points, np.arange(len(points)), 0, LEAF)
-            self._seed(asks, tree)
-            self._visit(asks, [tree])
+            asks = Cover(queries, np.arange(len(queries)), 0, ASK_LEAF)
+            self.tree = Flat(Cover(points, np.arange(len(points)), 0, LEAF))
+            self._seed(asks)
+            self._visit(asks, np.zeros(1, np.int64))
 
-    def _seed(self, group: Cover, tree: Cover) -> None:
+    def _seed(self, group: Cover) -> None:
         """Scores for every group of queries the smallest node of 2 k candidates that its centre leads to, so that worst k-th scores prune from the root on."""
         if group.parts:
             for part in group.parts:
-                self._seed(part, tree)
+                self._seed(part)
             return
-        while tree.parts:
-            part = tree.parts[int(np.argmax(np.stack([n.centre for n in tree.parts]) @ group.centre))]
-            if len(part.rows) < 2 * self.k:
+        tree, node = self.tree, 0
+        while not tree.leaf[node]:
+            kids = tree.kids[node]
+            best = int(kids[np.argmax(tree.centre[kids] @ group.centre)])
+            if tree.size[best] < 2 * self.k:
                 break
-            tree = part
-        self.seen[id(group)] = {id(leaf) for leaf in tree.leaves()}
-        self._score(group.rows, tree.rows)
-
-    def _bounds(self, group: Cover, nodes: list[Cover]) -> np.ndarray:
-        centres = np.stack([n.centre for n in nodes])
-        norm, radius = np.array([n.norm for n in nodes]), np.array([n.radius for n in nodes])
-        bound = centres @ group.centre + group.norm * radius + norm * group.radius + radius * group.radius
-        return bound + 1e-9 * (np.abs(bound) + 1)
-
-    def _visit(self, group: Cover, nodes: list[Cover]) -> None:
-        """Descends in both trees at once; nodes: what of the candidates' tree is left for this group."""
-        while nodes:
-            worst, bounds = self.best[group.rows, -1].min(), self._bounds(group, nodes)
-            kept = [n for n, b in zip(nodes, bounds, strict=True) if b >= worst]
+            node = best
+        self._score(group.rows, tree.rows(node))
+
+    def _divides(self, group: Cover, nodes: np.ndarray) -> bool:
+        parts = 0
+        for part in group.leaves():
+            parts += len(part.rows) * self.tree.size[nodes[self.tree.bounds(part, nodes) >= self.best[part.rows, -1].min()]].sum()
+        return 2 * parts < len(group.rows) * self.tree.size[nodes].sum()
+
+    def _visit(self, group: Cover, nodes: np.ndarray) -> None:
+        """Descends in both trees at once; nodes: what of the candidates' tree is left for this group.
+
+        A small group is divided further only if its leaves leave out half of what it would score.
+        """
+        tree = self.tree
+        while len(nodes):
+            worst = self.best[group.rows, -1].min()
+            kept = nodes[tree.bounds(group, nodes) >= worst]
             self.pruned, self.opened = self.pruned + len(nodes) - len(kept), self.opened + len(kept)
-            if group.parts:
-                down = [p for n in kept for p in (n.parts if n.parts and n.radius >= group.radius else [n])]
+            inner = ~tree.leaf[kept]
+            if group.parts and (len(group.rows) > ASK_GROUP or not inner.any() and self._divides(group, kept)):
+                down = tree.opened(kept, inner & (tree.radius[kept] >= group.radius))
                 for part in group.parts:
                     self._visit(part, down)
                 return
-            if not any(n.parts for n in kept):
+            nodes = kept
+            if not inner.any():
                 break
-            nodes = [p for n in kept for p in (n.parts or [n])]
-        else:
+            nodes = tree.opened(kept, inner)
+        if not len(nodes):
             return
-        seen = self.seen.get(id(group), set())
-        kept = [n for n in kept if id(n) not in seen]
-        bounds = self._bounds(group, kept) if kept else np.zeros(0)
+        bounds = tree.bounds(group, nodes)
         order, at = np.argsort(-bounds, kind="stable"), 0
         while at < len(order) and bounds[order[at]] >= self.best[group.rows, -1].min():
             rows, size = [], 0
             while at < len(order) and size < BATCH:
-                rows.append(kept[order[at]].rows)
+                rows.append(tree.rows(int(nodes[order[at]])))
                 size, at = size + len(rows[-1]), at + 1
             self._score(group.rows, np.concatenate(rows))
 
@@ -149,11 +198,19 @@ class Search:
         touched = np.unique(row)
         all_row = np.concatenate([row, np.repeat(touched, k)])
         all_score = np.concatenate([scores[row, at], self.best[asks[touched]].ravel()])
-        all_id = np.concatenate([ids[at], self.best_ids[asks[touched]].ravel()])
-        order = np.lexsort((all_id, -all_score, all_row))
+        all_at = np.concatenate([rows[at], self.best_at[asks[touched]].ravel()])
+        all_id = np.where(all_at >= 0, self.ids[all_at], _NO_ID)
+        order = np.lexsort((all_at, all_id, -all_score, all_row))
+        # a candidate that was scored before stands beside itself
+        again = (all_row[order][1:] == all_row[order][:-1]) & (all_at[order][1:] == all_at[order][:-1]) & (all_at[order][1:] >= 0)
+        order = order[np.concatenate([[True], ~again])]
         starts = np.searchsorted(all_row[order], touched)
         take = order[starts[:, None] + np.arange(k)[None, :]]
-        self.best[asks[touched]], self.best_ids[asks[touched]] = all_score[take], all_id[take]
+        self.best[asks[touched]], self.best_at[asks[touched]] = all_score[take], all_at[take]
+
+    @property
+    def best_ids(self) -> np.ndarray:
+        return np.where(self.best_at >= 0, self.ids[self.best_at], _NO_ID)
 
 
 def _plain(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -188,7 +245,7 @@ def _block(table: pa.Table, k: int) -> pa.Table:
     if largest < 2.0**52 and np.abs(points).max(initial=0) < 2**25 and np.abs(queries).max(initial=0) < 2**25:
         found = Search(queries.astype(float), query_ids, points.astype(float), ids, k)
         row, at = np.nonzero(np.isfinite(found.best))
-        columns = [query_ids[row], found.best_ids[row, at], found.best[row, at].astype(np.int64)]
+        columns = [query_ids[row], ids[found.best_at[row, at]], found.best[row, at].astype(np.int64)]
     else:
         columns = _plain(queries, query_ids, points, ids, k)
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
