@@ -162,7 +162,7 @@ def test_top_k_prunes_clusters():
         scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
         order = np.lexsort((np.broadcast_to(np.arange(4000), scores.shape), -scores))[:, :10]
         assert (found.best_ids == order).all() and (found.best == np.take_along_axis(scores, order, 1)).all()
-        assert 2 * found.pruned > found.opened > 0 and found.scored < 0.15 * scores.size
+        assert found.pruned > 100 and found.opened > 0 and found.scored < 0.15 * scores.size
 
 
 def test_elias_fano(tmp_path):
