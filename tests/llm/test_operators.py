@@ -209,6 +209,15 @@ def test_lm_scoring_of_odd_rows(spark, docs):
     assert out == sorted([(None, 3, 0, 0), (1, 1, 0, 0), (1, 3, 0, 0)], key=str)
 
 
+def test_streamed_log_folds_to_its_turns(spark):
+    rows = [(1, 0, "user", "ask <b>"), (1, 1, "assistant", "answer \\# é"), (1, 1, "assistant", "answer \\# é"), (1, None, "user", "late"), (2, 5, "assistant", None), (2, 6, None, "x"), (None, 0, "assistant", "a")]
+    log = chat.streamed_events(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "edit", "delta", "regenerate"}
+    out = {r.conv_id: ([tuple(t) for t in r.turns], r.loss_text) for r in chat.read_back(chat.render(chat.fold_events(log))).collect()}
+    assert out[1] == ([("user", "ask <b>"), ("assistant", "answer \\# é"), ("assistant", "answer \\# é"), ("user", "late")], "answer \\# é" * 2)
+    assert out[2] == ([("assistant", ""), ("", "x")], "") and out[None] == ([("assistant", "a")], "a")
+
+
 def test_chat_folds_events(spark):
     log = [(1, "m", 1, "delta", "assistant", "Hel"), (1, "m", 2, "delta", "assistant", "lo"), (1, "m", 3, "regenerate", "assistant", None), (1, "m", 4, "delta", "assistant", "Hi <b>\\#"), (1, "u", 0, "message", "user", "old"), (1, "u", 5, "edit", "user", "new"), (None, "z", 1, "message", None, None), (1, "q", 9, "other", "user", "no")]
     table = spark.createDataFrame(log, "conv_id long, message_id string, seq long, kind string, role string, content string")

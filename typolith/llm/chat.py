@@ -23,6 +23,7 @@ _ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"), ("#", "\\h"))
 _CLOSE = "</turn>\n"
 RESETS = ("message", "edit", "regenerate")
 PROBE_ID = -7
+LAST_TURN = 1 << 59
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -102,10 +103,26 @@ def turn_events(table: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.struct("turn", F.row_number().over(same).alias("copy")).alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "content")
 
 
+def streamed_events(table: DataFrame) -> DataFrame:
+    """A log as a chat service writes it, whose fold is the table with one row per turn.
+
+    An assistant's turn starts to stream, is generated again and streamed in two parts; any other turn is sent as a draft and edited. Rows of one turn become
+    messages of their own; a null turn comes last.
+    """
+    log = turn_events(table.withColumn("turn", F.coalesce(F.col("turn").cast("long"), F.lit(LAST_TURN))))
+    half = F.floor(F.length("content") / 2).cast("int")
+    event = lambda step, kind, content: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), content.alias("content"))
+    before, after = F.substring(F.col("content"), F.lit(1), half), F.substring(F.col("content"), half + 1, F.length("content"))
+    streamed = F.array(event(0, "delta", after), event(1, "regenerate", F.lit("")), event(2, "delta", before), event(3, "delta", after))
+    edited = F.array(event(0, "message", before), event(1, "edit", F.col("content")))
+    steps = log.select("conv_id", "message_id", "seq", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return steps.select("conv_id", "message_id", (F.col("seq") * 4 + F.col("e.step")).alias("seq"), "e.kind", "role", "e.content")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
-    parsed = read_back(render(fold_events(turn_events(table.unionByName(probe)))))
+    parsed = read_back(render(fold_events(streamed_events(table.unionByName(probe)))))
     story = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return parsed.select(
         "conv_id",
