@@ -311,6 +311,31 @@ def test_jaccard_join_of_odd_rows(spark):
     assert jaccard_join.jaccard_components(table.limit(0)).count() == 0 and jaccard_join.first_of_each(table.limit(0)).count() == 0
 
 
+def test_jaccard_pairs_within_a_group_are_not_all_verified(spark, monkeypatch):
+    pairs = [(i, j) for i in range(30) for j in range(i + 1, 30)] + [(i, 100) for i in range(30)]
+    verified = []
+
+    def linked(picked, texts):
+        verified.extend((r.a, r.b) for r in picked.collect())
+        return picked.filter("b < 100 OR a = 17").select("a", "b")
+
+    monkeypatch.setattr(jaccard_join, "_verified", linked)
+    labels = spark.createDataFrame([(i, 0) for i in range(25)], "node long, label long")
+    got = {r.node: r.label for r in jaccard_join._closed(spark.createDataFrame(pairs, "a long, b long"), None, labels).collect()}
+    assert got == dict.fromkeys([*range(30), 100], 0) and len(set(verified)) == len(verified) < 80
+
+
+def test_components_go_on_from_labels(spark):
+    from typolith.llm import graph
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (60, 60)], "a long, b long")
+    labels = graph.components(chain)
+    assert {r.node: r.label for r in labels.collect()} == dict.fromkeys(range(21), 0) | {50: 50, 51: 50, 60: 60}
+    more = graph.components(spark.createDataFrame([(51, 70), (70, 13), (3, 4), (80, 81)], "a long, b long"), labels)
+    assert {r.node: r.label for r in more.collect()} == dict.fromkeys([*range(21), 50, 51, 70], 0) | {60: 60, 80: 80, 81: 80}
+    assert graph.components(chain.limit(0)).count() == 0 and graph.components(chain.limit(0), labels).count() == 24
+
+
 def test_jaccard_tree_keeps_all_links():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(60)]

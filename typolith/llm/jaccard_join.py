@@ -18,6 +18,7 @@ How it is spread over a cluster without losing a link:
    links the members of large groups of copies with one comparison for each text.
 5. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
    they cannot change the result. Large runs are cut into blocks, and pairs of blocks with one and the same component are left out.
+   Of the pairs that are left between two components one is verified, then 4, 16, ... more, until a link joins the two or no pair is left.
 
 Edge cases: null and empty texts have size 0 and are linked with nothing; texts under five words are one shingle; equal
 texts are always linked unless empty; repeated rows are copies; an id that is repeated with another text, or is null, is a text like any
@@ -33,7 +34,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -443,6 +444,22 @@ def _to_pivots(held: DataFrame, seed: int, sizes: Sizes) -> DataFrame:
     return best.select(F.least("key", "best.pivot").alias("a"), F.greatest("key", "best.pivot").alias("b")).distinct()
 
 
+def _closed(pairs: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after all links among pairs (a, b); pairs that other links have brought into one component are not verified."""
+    near, most = Window.partitionBy("_ca", "_cb").orderBy(F.xxhash64("a", "b"), "a", "b"), 1
+    while True:
+        held = pairs.select("a", "b")
+        for side in ("a", "b"):
+            held = held.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"_l{side}")), side, "left")
+        ca, cb = F.coalesce("_la", "a"), F.coalesce("_lb", "b")
+        apart = held.filter(ca != cb).select("a", "b", F.least(ca, cb).alias("_ca"), F.greatest(ca, cb).alias("_cb"))
+        apart = materialise(apart.select("a", "b", F.row_number().over(near).alias("place")), "jaccard-apart")
+        if not apart.limit(1).count():
+            return labels
+        labels = components(materialise(_verified(apart.filter(F.col("place") <= most), texts), "jaccard-links"), labels)
+        pairs, most = apart.filter(F.col("place") > most), 4 * most
+
+
 def _same(x: Column, y: Column) -> Column:
     return x.eqNullSafe(y)
 
@@ -471,17 +488,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sizes: Sizes) -> tuple
     texts = _described(texts_of(classes.join(named, "key", "left_semi")))
     texts = materialise(texts.dropDuplicates(["key"]) if repeated else texts, "jaccard-texts")
 
-    links = labels = None
+    labels = None
     for seed in range(ROUNDS):
         pairs = materialise(_to_pivots(materialise(_open(runs, labels, sizes), "jaccard-held"), seed, sizes), "jaccard-pairs")
-        found = _verified(pairs, texts)
-        links = materialise(found if links is None else links.union(found), "jaccard-links")
-        labels = components(links)
+        labels = components(materialise(_verified(pairs, texts), "jaccard-links"), labels)
     held = materialise(_open(runs, labels, sizes), "jaccard-held")
     own = held.groupBy("key").agg(F.collect_list("run").alias("runs"))
     held = held.join(own.join(texts.select("key", "n", "point"), "key"), "key")
     pairs = materialise(_tree_pairs(held, sizes.tree_rows), "jaccard-pairs")
-    return every, components(materialise(links.union(_verified(pairs, texts)), "jaccard-links"))
+    return every, _closed(pairs, texts, labels)
 
 
 def _placed(every: DataFrame, labels: DataFrame | None) -> DataFrame:
