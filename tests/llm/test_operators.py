@@ -10,6 +10,7 @@ import brute_jaccard
 import brute_lm
 import brute_spans
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +326,65 @@ def test_jaccard_pairs_within_a_group_are_not_all_verified(spark, monkeypatch):
     assert got == dict.fromkeys([*range(30), 100], 0) and len(set(verified)) == len(verified) < 80
 
 
+def _near_misses(count, changed=3):
+    """Texts of 200 words that differ in so many places: with three the overlap bound leaves most pairs, but none is linked."""
+    rng = np.random.default_rng(8)
+    out = []
+    for i in range(count):
+        words = [f"w{k}" for k in range(200)]
+        for at in rng.permutation(20)[:changed]:
+            words[8 * at + 20] = f"x{i}y{at}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("items", [1 << 20, 9000])
+def test_jaccard_trees_send_no_more_rows_than_texts(spark, items):
+    sets = list(jaccard_join.sets_of(pa.array(_near_misses(120))))
+    rows = [(1, k, len(s), jaccard_join.point_of(s).tolist(), k, [1], 120, 0) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "run long, key long, n long, point array<tinyint>, comp long, runs array<long>, members long, least long")
+    assert len(jaccard_join.tree_join(np.stack([jaccard_join.folded(np.array(r[3]), 256) for r in rows]), np.array([r[2] for r in rows]), np.arange(120))[0]) > 3000
+    assert jaccard_join._tree_pairs(table, 1024).count() <= 120
+    left = jaccard_join._tree_pairs(table, 1024, items).collect()
+    assert {r.a for r in left} == set(range(120)) and len(left) <= 120 * len({r.part for r in left})
+
+
+@pytest.mark.parametrize("sizes", [jaccard_join.Sizes(), jaccard_join.Sizes(3000, 3000, 16, 0)])
+def test_jaccard_join_of_a_large_group_of_near_misses(spark, monkeypatch, sizes):
+    misses = _near_misses(60)
+    texts = [*misses, *(t.replace(" w190 ", " v190 ") for t in misses[:20]), *_near_misses(15, 2), *[" ".join(f"w{k}" for k in range(n)) for n in (150, 160, 199)]]
+    rows, seen = [(i, t) for i, t in enumerate(texts)], []
+    whole = jaccard_join._linked_in_units
+    monkeypatch.setattr(jaccard_join, "_linked_in_units", lambda members, texts: seen.append(members.count()) or whole(members, texts))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), sizes=sizes).collect()}
+    assert got == brute_jaccard.components(rows) and seen[0] > 0
+
+
+def test_jaccard_links_of_a_unit_join_all_that_pairs_join():
+    rng = np.random.default_rng(6)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rng.choice(base, 88, replace=False), rng.integers(1000, 1 << 60, 4).astype(np.uint64)])) for _ in range(40)] + [base + np.uint64(500)]
+    comps = np.array([7] * 5 + list(range(100, 136)))
+    a, b = np.triu_indices(41, 1)
+    graph = {i: {i} for i in range(41)}
+
+    def join(x, y):
+        both = graph[x] | graph[y]
+        for k in both:
+            graph[k] = both
+
+    for x in range(1, 5):
+        join(0, x)
+    links = jaccard_join.joining_links(sets, comps, a, b)
+    assert all(jaccard_join.linked(sets[x], sets[y]) for x, y in links)
+    for x, y in links:
+        assert graph[x] is not graph[y]
+        join(x, y)
+    assert all(graph[x] is graph[y] for x, y in zip(a.tolist(), b.tolist(), strict=True) if jaccard_join.linked(sets[x], sets[y]))
+    assert graph[40] == {40} and jaccard_join.joining_links(sets, comps, a, b, lambda x, y: False) == []
+
+
 def test_components_go_on_from_labels(spark):
     from typolith.llm import graph
 

@@ -18,7 +18,9 @@ How it is spread over a cluster without losing a link:
    links the members of large groups of copies with one comparison for each text.
 5. Runs that still span several components are joined by their R-tree; pairs within one component are skipped, since
    they cannot change the result. Large runs are cut into blocks, and pairs of blocks with one and the same component are left out.
-   Of the pairs that are left between two components one is verified, then 4, 16, ... more, until a link joins the two or no pair is left.
+   Where the trees of a pair of blocks leave more pairs than texts, the texts are sent on instead of the pairs: their whole sets meet in
+   one task (cut into units by their shingles), which verifies what the bound leaves there and returns only links that join two components.
+   Of the other pairs that are left between two components one is verified, then 4, 16, ... more, until a link joins the two or no pair is left.
 
 Edge cases: null and empty texts have size 0 and are linked with nothing; texts under five words are one shingle; equal
 texts are always linked unless empty; repeated rows are copies; an id that is repeated with another text, or is null, is a text like any
@@ -28,7 +30,8 @@ columns are ignored. Words, shingles and classes are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -383,47 +386,130 @@ def _blocks(rows: DataFrame, tree_rows: int) -> DataFrame:
     return rows.select("run", F.least("_at", "_other").alias("i"), F.greatest("_at", "_other").alias("j"), side.alias("side"), "key", "n", "point", "comp", "runs")
 
 
-def _tree_pairs(rows: DataFrame, tree_rows: int) -> DataFrame:
-    """Pairs (a, b) that the R-trees of all runs leave, each from the first run of `runs` that both texts are in."""
-
-    def joined(table: pa.Table) -> pa.RecordBatch:
-        left, right = [], []
-        keys = [table.column(k).to_numpy() for k in ("run", "i", "j")]
-        cut = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if table.num_rows else np.zeros(0, np.int64)
-        key, n, comp, side = (table.column(k).to_numpy() for k in ("key", "n", "comp", "side"))
-        points = [x.values.to_numpy() for x in table.column("point")]
-        runs = [frozenset(x) for x in table.column("runs").to_pylist()]
-        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), table.num_rows], strict=True):
-            part, run = slice(low, high), int(keys[0][low])
-            width = min(NODE_GROUPS, min(len(p) for p in points[part]))
-            coarse = np.stack([folded(p, width) for p in points[part]]).astype(np.int16)
-            a, b = tree_join(coarse, n[part], comp[part], None if keys[1][low] == keys[2][low] else side[part])
-            first = np.array([min(runs[low + x] & runs[low + y]) == run for x, y in zip(a, b, strict=True)], bool)
-            a, b = a[first], b[first]
-            fine = np.array([7 * overlap_bound(points[low + x], points[low + y]) >= 3 * (n[low + x] + n[low + y]) for x, y in zip(a, b, strict=True)], bool)
-            left.append(key[part][a[fine]])
-            right.append(key[part][b[fine]])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups of rows that come sorted by names, with the bounds of each group."""
+    rest: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            rest = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        if rest is None or not rest.num_rows:
+            continue
+        keys = [rest.column(k).to_numpy() for k in names]
+        cut = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])).tolist()
+        ends = [*cut[1:], rest.num_rows]
+        whole = len(cut) if batch is None else len(cut) - 1
+        if whole:
+            yield rest.slice(0, ends[whole - 1]), list(zip(cut[:whole], ends[:whole], strict=True))
+            rest = rest.slice(ends[whole - 1])
+
+
+def _bounded(points: list[np.ndarray], n: np.ndarray, comp: np.ndarray, sides: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The row pairs that the R-tree of these points leaves."""
+    width = min(NODE_GROUPS, min(len(p) for p in points))
+    return tree_join(np.stack([folded(p, width) for p in points]).astype(np.int16), n, comp, sides)
+
+
+_LEFT = ["a", "b", "run", "i", "j", "u", "v", "side", "part"]
+_UNIT = ["run", "i", "j", "u", "v"]
+
+
+def _left(group: list[int], key: np.ndarray, n: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray, items: int) -> np.ndarray:
+    """Columns _LEFT of what the trees leave in one group: its pairs, with run -1, or, if those are more, its texts, a and b being the same.
+
+    Texts are cut into parts of about `items` shingles; each two parts u, v between which pairs are left are a unit.
+    """
+    pairs = np.full((len(_LEFT), len(a)), -1, np.int64)
+    pairs[0], pairs[1] = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(rows) >= len(a):
+        return pairs
+    part = np.unique(np.cumsum(n[rows]) // items, return_inverse=True)[1]
+    one, other = part[at[: len(a)]], part[at[len(a) :]]
+    unit = np.minimum(one, other) * len(rows) + np.maximum(one, other)
+    unit, member = np.divmod(np.unique(np.tile(unit, 2) * len(rows) + at), len(rows))
+    if len(member) >= len(a):
+        return pairs
+    u, v = np.divmod(unit, len(rows))
+    own = rows[member]
+    return np.stack([key[own], key[own], *(np.full(len(own), k, np.int64) for k in group), u, v, side[own], part[member]])
+
+
+def _tree_pairs(rows: DataFrame, tree_rows: int, items: int = Sizes().block_items) -> DataFrame:
+    """Rows _LEFT: pairs (a, b) that the R-trees of all runs leave, each from the first run of `runs` that both texts are in.
+
+    A pair of blocks that leaves more pairs than texts gives its texts instead, so there are no more rows than texts in all pairs of blocks.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if not table.num_rows:
-                continue
-            keys = [table.column(k).to_numpy() for k in ("run", "i", "j")]
-            same = np.all([k == k[-1] for k in keys], axis=0)
-            start = int(np.argmax(~same[::-1])) if not same.all() else len(same)
-            whole = table.num_rows - start
-            if whole:
-                yield joined(table.slice(0, whole))
-            rest = table.slice(whole)
-        if rest is not None and rest.num_rows:
-            yield joined(rest)
+        for table, groups in _grouped(batches, _UNIT[:3]):
+            out = [np.zeros((len(_LEFT), 0), np.int64)]
+            heads = [table.column(k).to_numpy() for k in _UNIT[:3]]
+            key, n, comp, side = (table.column(k).to_numpy() for k in ("key", "n", "comp", "side"))
+            points = [x.values.to_numpy() for x in table.column("point")]
+            runs = [frozenset(x) for x in table.column("runs").to_pylist()]
+            for low, high in groups:
+                part, group = slice(low, high), [int(k[low]) for k in heads]
+                a, b = _bounded(points[part], n[part], comp[part], None if group[1] == group[2] else side[part])
+                first = np.array([min(runs[low + x] & runs[low + y]) == group[0] for x, y in zip(a, b, strict=True)], bool)
+                a, b = a[first], b[first]
+                fine = np.array([7 * overlap_bound(points[low + x], points[low + y]) >= 3 * (n[low + x] + n[low + y]) for x, y in zip(a, b, strict=True)], bool)
+                out.append(_left(group, key[part], n[part], side[part], a[fine], b[fine], items))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=_LEFT)
 
     dealt = _blocks(rows, tree_rows).repartition("run", "i", "j").sortWithinPartitions("run", "i", "j", "key")
-    return dealt.mapInArrow(releasing(step), "a long, b long")
+    return dealt.mapInArrow(releasing(step), ", ".join(f"{c} long" for c in _LEFT))
+
+
+def joining_links(sets: list[np.ndarray], comps: np.ndarray, a: np.ndarray, b: np.ndarray, wanted: Callable[[int, int], bool] = lambda x, y: True) -> list[tuple[int, int]]:
+    """Of the row pairs (a, b) that are wanted and linked, enough to join all components that they join; each joins two."""
+    n = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(ids, np.cumsum(n)[:-1])
+    comp, held, links = np.unique(comps, return_inverse=True)[1], np.zeros(len(ids), np.int64), []
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    for x, others in zip(a[starts].tolist(), np.split(b, starts[1:]), strict=True):
+        near = np.array([y for y in others[comp[others] != comp[x]].tolist() if wanted(x, y)], np.int64)
+        if not len(near):
+            continue
+        held[own[x]] = 1
+        common = np.add.reduceat(held[np.concatenate([own[y] for y in near])], np.cumsum(n[near]) - n[near])
+        held[own[x]] = 0
+        for y in near[100 * common >= 75 * (n[x] + n[near] - common)].tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                links.append((x, y))
+    return links
+
+
+def _linked_in_units(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the texts of each unit that join components; members: (key, comp, runs) and its unit, side and part."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _grouped(batches, _UNIT):
+            left, right = [], []
+            heads = [table.column(k).to_numpy() for k in _UNIT]
+            key, comp, side, part = (table.column(k).to_numpy() for k in ("key", "comp", "side", "part"))
+            for low, high in groups:
+                run, i, j, u, v = (int(k[low]) for k in heads)
+                inside = table.slice(low, high - low)
+                sets = [s for c in inside.column("text").chunks for s in sets_of(c)]
+                runs = [frozenset(x) for x in inside.column("runs").to_pylist()]
+                a, b = _bounded([point_of(s) for s in sets], np.array([len(s) for s in sets]), comp[low:high], None if i == j else side[low:high])
+                if u != v:
+                    across = part[low + a] != part[low + b]
+                    a, b = a[across], b[across]
+                for x, y in joining_links(sets, comp[low:high], a, b, lambda x, y, runs=runs, run=run: min(runs[x] & runs[y]) == run):
+                    left.append(key[low + x])
+                    right.append(key[low + y])
+            x, y = np.array(left, np.int64), np.array(right, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = members.join(texts.select("key", "text"), "key").select(*_UNIT, "side", "part", "key", "comp", "runs", "text")
+    return rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, "key").mapInArrow(releasing(step), "a long, b long")
 
 
 def _open(runs: DataFrame, labels: DataFrame | None, sizes: Sizes) -> DataFrame:
@@ -494,9 +580,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, sizes: Sizes) -> tuple
         labels = components(materialise(_verified(pairs, texts), "jaccard-links"), labels)
     held = materialise(_open(runs, labels, sizes), "jaccard-held")
     own = held.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    held = held.join(own.join(texts.select("key", "n", "point"), "key"), "key")
-    pairs = materialise(_tree_pairs(held, sizes.tree_rows), "jaccard-pairs")
-    return every, _closed(pairs, texts, labels)
+    whole = held.join(own.join(texts.select("key", "n", "point"), "key"), "key")
+    left = materialise(_tree_pairs(whole, sizes.tree_rows, sizes.block_items), "jaccard-pairs")
+    members = left.filter("run >= 0")
+    if members.limit(1).count():
+        own = held.groupBy("key").agg(F.first("comp").alias("comp"), F.collect_list("run").alias("runs"))
+        members = members.select(F.col("a").alias("key"), *_UNIT, "side", "part").join(own, "key")
+        labels = components(materialise(_linked_in_units(members, texts), "jaccard-links"), labels)
+    return every, _closed(left.filter("run < 0"), texts, labels)
 
 
 def _placed(every: DataFrame, labels: DataFrame | None) -> DataFrame:
